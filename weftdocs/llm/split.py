@@ -138,7 +138,7 @@ def p1_balanced(spark: SparkSession, folder: str) -> DataFrame:
     return split_oversized(docs.unionByName(chunks), ["src", "item_id"], objective="total")
 
 
-# The window w holds the 600 places where a piece may end and one character more; r is w reversed.
+# w holds the 600 characters after which a piece may end, and the one that follows them.
 P1_SQL = r"""
 WITH RECURSIVE src AS (
   SELECT 'extracted_docs' AS src, ext_id AS item_id, text FROM extracted_docs WHERE length(text) > 1200
@@ -148,12 +148,13 @@ p(src, item_id, text, piece_no, s, e) AS (
   UNION ALL
   SELECT src, item_id, text, piece_no + 1, s, CASE
     WHEN n - s <= 1200 THEN n
-    WHEN strpos(r[2:], chr(10)) > 0 THEN s + 1201 - strpos(r[2:], chr(10))
-    WHEN regexp_matches(r, '(?s)^.+?[。！？]|^(.*?) [.!?]') THEN s + 1201 - least(
-        coalesce(nullif(length(regexp_extract(r[2:], '(?s)^(.*?[。！？])', 1)), 0), 9999),
-        coalesce(nullif(length(regexp_extract(r, '(?s)^(.*? [.!?])', 1)), 0) - 1, 9999))
-    WHEN regexp_matches(r[2:], '[ 　]') THEN s + 1201 - length(regexp_extract(r[2:], '(?s)^(.*?[ 　])', 1))
+    WHEN line > 0 THEN s + 600 + line
+    WHEN greatest(stop, dot - 1) > 0 THEN s + 600 + greatest(stop, dot - 1)
+    WHEN blank > 0 THEN s + 600 + blank
     ELSE s + 1200 END
-  FROM (SELECT src, item_id, text, piece_no, e - 180 AS s, length(text) AS n, reverse(substr(text, (e - 180 + 601)::BIGINT, 601)) AS r
-        FROM p WHERE e < length(text)))
+  FROM (SELECT src, item_id, text, piece_no, s, n, length(regexp_extract(w[:600], '(?s)^.*\n')) AS line,
+          length(regexp_extract(w[:600], '(?s)^.*[。！？]')) AS stop, length(regexp_extract(w, '(?s)^.*[.!?] ')) AS dot,
+          length(regexp_extract(w[:600], '(?s)^.*[ 　]')) AS blank
+        FROM (SELECT src, item_id, text, piece_no, e - 180 AS s, length(text) AS n, substr(text, (e + 421)::BIGINT, 601) AS w
+              FROM p WHERE e < length(text))))
 SELECT src, item_id, piece_no, s::INT AS start_pos, e::INT AS end_pos FROM p WHERE piece_no > 0"""
