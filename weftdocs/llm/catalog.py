@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from weftdocs.llm import mojibake, pack, split
+from weftdocs.llm import leak, mojibake, pack, split
 
 QUERIES = {
     "p1_found": split.p1_found,
     "p1_balanced": split.p1_balanced,
     "p6_found": pack.p6_found,
     "p6_fill": pack.p6_fill,
+    "p7_found": leak.p7_found,
     "p8_found": mojibake.p8_found,
 }
 
