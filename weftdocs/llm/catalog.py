@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from weftdocs.llm import answers, leak, lookalike, mojibake, pack, scanned, split
+from weftdocs.llm import answers, leak, lookalike, mojibake, neighbours, pack, scanned, split
 
 QUERIES = {
     "p1_found": split.p1_found,
     "p1_balanced": split.p1_balanced,
     "p2_found": answers.p2_found,
+    "p3_found": neighbours.p3_found,
     "p4_found": lookalike.p4_found,
     "p5_found": scanned.p5_found,
     "p6_found": pack.p6_found,
