@@ -35,6 +35,7 @@ BUCKET, SLACK = 64, 16
 SHARE, PENALTY = 0.5, 4.0
 BASE = np.uint64(0x9E3779B97F4A7C15)
 END = 1  # stands between texts
+BATCH_ROWS = 256  # texts hashed at a time, for memory only
 
 
 @lru_cache(None)
@@ -128,22 +129,26 @@ def index(docs: DataFrame, doc: str, text: str, terms: np.ndarray) -> DataFrame:
         wanted = shared.value
         sieve = np.zeros(1 << 22, bool)
         sieve[(wanted >> np.uint64(42)).astype("i8")] = True
-        for batch in batches:
-            codes = normal([t.replace(chr(END), " ") for t in batch["_text"]])
-            value, free = hashes(codes)
-            at = np.flatnonzero(sieve[(value >> np.uint64(42)).astype("i8")] & free)
-            got = value[at]
-            k = np.searchsorted(wanted, got)
-            at = at[wanted[np.minimum(k, len(wanted) - 1)] == got]
-            ends = np.flatnonzero(codes == END)
-            of = np.searchsorted(ends, at)
-            first = np.concatenate([[0], ends[:-1] + 1])
-            rows = []
-            for d in np.flatnonzero(np.bincount(of, minlength=len(ends)) >= AGREEING):
-                own = at[of == d]
-                rows.append((batch["_doc"].iat[d], codes[first[d] : ends[d]].tobytes().decode("utf-16-le"), value[own].view("i8"), own - first[d]))
-            if rows:
-                yield pd.DataFrame(rows, columns=["doc", "form", "terms", "positions"])
+        for big in batches:
+            for at_row in range(0, len(big), BATCH_ROWS):
+                yield from found(big.iloc[at_row : at_row + BATCH_ROWS], wanted, sieve)
+
+    def found(batch: pd.DataFrame, wanted: np.ndarray, sieve: np.ndarray) -> Iterator[pd.DataFrame]:
+        codes = normal([t.replace(chr(END), " ") for t in batch["_text"]])
+        value, free = hashes(codes)
+        at = np.flatnonzero(sieve[(value >> np.uint64(42)).astype("i8")] & free)
+        got = value[at]
+        k = np.searchsorted(wanted, got)
+        at = at[wanted[np.minimum(k, len(wanted) - 1)] == got]
+        ends = np.flatnonzero(codes == END)
+        of = np.searchsorted(ends, at)
+        first = np.concatenate([[0], ends[:-1] + 1])
+        rows = []
+        for d in np.flatnonzero(np.bincount(of, minlength=len(ends)) >= AGREEING):
+            own = at[of == d]
+            rows.append((batch["_doc"].iat[d], codes[first[d] : ends[d]].tobytes().decode("utf-16-le"), value[own].view("i8"), own - first[d]))
+        if rows:
+            yield pd.DataFrame(rows, columns=["doc", "form", "terms", "positions"])
 
     source = docs.select(F.col(doc).alias("_doc"), F.col(text).alias("_text")).filter(F.length("_text") > 0)
     kind = source.schema["_doc"].dataType.simpleString()
