@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weftdocs.plans import search
+from weftdocs.plans import search, stats
 
-MODULES = [search]
+MODULES = [search, stats]
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
 FLAGSHIP = "search_lines_by_idf"
