@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weftdocs.plans import search, stats
+from weftdocs.plans import documents, entities, search, stats, streams
 
-MODULES = [search, stats]
+MODULES = [search, stats, entities, documents, streams]
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
 FLAGSHIP = "search_lines_by_idf"
