@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,6 +28,25 @@ def search_tokens(text: str | Column) -> Column:
     return F.concat(F.regexp_extract_all(low, F.lit(ASCII_RUN), F.lit(0)), F.flatten(F.transform(runs, lambda r: shingles(r, 2))))
 
 
+def tokens_of(query: str) -> list[str]:
+    """The distinct search tokens of a query, in order."""
+    low = query.lower()
+    windows = [r[i : i + 2] for r in re.findall(CJK_RUN, low) for i in range(len(r) - 1)]
+    return list(dict.fromkeys(re.findall(ASCII_RUN, low) + windows))
+
+
+def mentions(text: str | Column, tokens: list[str]) -> Column:
+    """A text without this holds none of the tokens; a cheap test before a text is cut into tokens."""
+    return F.lower(col(text)).rlike("|".join(re.escape(t) for t in tokens) or "$^")
+
+
+def token_count(text: str | Column) -> Column:
+    """How many search tokens a text has, without making them."""
+    low = F.lower(col(text))
+    runs = F.regexp_extract_all(low, F.lit(CJK_RUN), F.lit(0))
+    return F.regexp_count(low, F.lit(ASCII_RUN)) + F.length(F.array_join(runs, "")) - F.size(runs)
+
+
 def bag_tokens(text: str | Column) -> Column:
     """Words, CJK windows of two, and single CJK characters, as a bag."""
     low = F.lower(col(text))

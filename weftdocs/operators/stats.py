@@ -38,8 +38,8 @@ def percentiles(df: DataFrame, columns: list[str]) -> DataFrame:
 def correlations(df: DataFrame, target: str, features: list[str]) -> DataFrame:
     """(column, r): Pearson over rows where both are present; null for a constant column or under two rows."""
     by = melt(df.filter(F.col(target).isNotNull()), features, target).filter("value IS NOT NULL").groupBy("column")
-    r = by.agg(F.corr("value", target).alias("r"), F.count("*").alias("n"), F.stddev_pop("value").alias("s"), F.stddev_pop(target).alias("t"))
-    return r.select("column", F.when((F.col("n") >= 2) & (F.col("s") > 0) & (F.col("t") > 0), F.col("r")).alias("r"))
+    r = by.agg(F.covar_pop("value", target).alias("c"), F.count("*").alias("n"), F.stddev_pop("value").alias("s"), F.stddev_pop(target).alias("t"))
+    return r.select("column", F.when((F.col("n") >= 2) & (F.col("s") > 0) & (F.col("t") > 0), F.try_divide("c", F.col("s") * F.col("t"))).alias("r"))
 
 
 def histogram(df: DataFrame, value: str, bins: int, width: float | None = None) -> DataFrame:
@@ -116,8 +116,8 @@ def average_ranks(df: DataFrame, group: list[str], value: str) -> Column:
 def spearman(df: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
     """(group, rho) from average ranks; null where one side is constant."""
     ranks = df.select(*group, average_ranks(df, group, x).alias("rx"), average_ranks(df, group, y).alias("ry"))
-    by = ranks.groupBy(*group).agg(F.corr("rx", "ry").alias("r"), F.stddev_pop("rx").alias("sx"), F.stddev_pop("ry").alias("sy"))
-    return by.select(*group, F.when((F.col("sx") > 0) & (F.col("sy") > 0), F.col("r")).alias("rho"))
+    by = ranks.groupBy(*group).agg(F.covar_pop("rx", "ry").alias("c"), F.stddev_pop("rx").alias("sx"), F.stddev_pop("ry").alias("sy"))
+    return by.select(*group, F.when((F.col("sx") > 0) & (F.col("sy") > 0), F.try_divide("c", F.col("sx") * F.col("sy"))).alias("rho"))
 
 
 def unique_best(df: DataFrame, group: list[str], value: Column | str, *order: Column) -> DataFrame:

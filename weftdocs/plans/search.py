@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weftdocs.functions.text import ID_PATTERN, bag_tokens, canonical_id, locator, search_tokens, stem, strong_weak, trigrams, version_base
 from weftdocs.operators import lines as L
 from weftdocs.operators import search as S
-from weftdocs.session import table
+from weftdocs.session import spread, table
 
 QUERY = "予測モデル 欠損率 load_ratio audit trail"
 
@@ -19,16 +19,12 @@ ASKED = TOK.format(c=f"'{QUERY}'")
 
 
 def doc_lines(spark: SparkSession, folder: str) -> DataFrame:
-    return L.lines(table(spark, folder, "documents"), "doc_id", "text")
+    return L.lines(spread(table(spark, folder, "documents")), "doc_id", "text")
 
 
 def line_search(spark: SparkSession, folder: str) -> DataFrame:
     """Top 20 lines of all documents by summed rarity of the query's tokens."""
-    rows = doc_lines(spark, folder)
-    n = rows.count()
-    # postings of the query's tokens only: a line without any is never tokenised further
-    posts = rows.select("doc_id", "line_no", F.explode(F.array_intersect(F.array_distinct(search_tokens("line")), S.query_tokens(rows, QUERY))).alias("token"))
-    return S.top(S.idf_search(posts, ["doc_id", "line_no"], n, QUERY), 20, F.desc("score"), "doc_id", "line_no")
+    return S.top(S.idf_search(doc_lines(spark, folder), ["doc_id", "line_no"], "line", QUERY), 20, F.desc("score"), "doc_id", "line_no")
 
 
 LINE_SEARCH = f"""
@@ -40,7 +36,7 @@ FROM hits JOIN w USING (token) GROUP BY doc_id, line_no ORDER BY score DESC, doc
 
 
 def idf_table(spark: SparkSession, folder: str) -> DataFrame:
-    chunks = table(spark, folder, "chunks")
+    chunks = spread(table(spark, folder, "chunks"))
     posts = chunks.select("id", F.explode(F.array_distinct(search_tokens("text"))).alias("token"))
     weights = S.idf(posts, chunks.count())
     return weights.select("token", "df", F.round("idf", 6).alias("idf"))
@@ -52,8 +48,7 @@ SELECT token, count(*) AS df, round(ln(((SELECT count(*) FROM chunks) + 1) / (co
 
 
 def bm25_top(spark: SparkSession, folder: str) -> DataFrame:
-    posts = S.postings(table(spark, folder, "chunks"), ["id"], "text")
-    return S.top(S.bm25(posts, ["id"], QUERY), 50, F.desc("score"), "id")
+    return S.top(S.bm25(spread(table(spark, folder, "chunks")), ["id"], "text", QUERY), 50, F.desc("score"), "id")
 
 
 BM25_SQL = f"""
@@ -84,7 +79,7 @@ def hybrid(spark: SparkSession, folder: str) -> DataFrame:
     """Dense and sparse lists fused by rank from 0; newer versions and facts are weighted after."""
     order = [F.desc("score"), "id"]
     dense = S.ranked(_dense(spark, folder, 90), order, 0)
-    sparse = S.ranked(S.top(S.bm25(S.postings(table(spark, folder, "chunks"), ["id"], "text"), ["id"], QUERY), 90, *order), order, 0)
+    sparse = S.ranked(S.top(S.bm25(spread(table(spark, folder, "chunks")), ["id"], "text", QUERY), 90, *order), order, 0)
     fused = S.fuse([(dense, "dense", 1.0), (sparse, "sparse", 1.0)], ["id"])
     boost = F.when(F.col("kind") == "fact", 1.25).otherwise(1.0) * F.when(F.col("file").contains("_old"), 0.8).otherwise(1.0)
     boosted = fused.join(table(spark, folder, "chunks").select("id", "kind", "file"), "id").withColumn("score", F.round(F.col("score") * boost, 9))
@@ -123,7 +118,7 @@ SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY file ORDER BY score DESC
 
 def diversified(spark: SparkSession, folder: str) -> DataFrame:
     chunks = table(spark, folder, "chunks")
-    scored = S.bm25(S.postings(chunks, ["id"], "text"), ["id"], QUERY).join(chunks.select("id", "file", "text"), "id")
+    scored = S.bm25(spread(chunks), ["id"], "text", QUERY).join(chunks.select("id", "file", "text"), "id")
     return S.diversify(scored, "id", "file", "text", 2, 24).select("id", "file", "score", "over_cap")
 
 

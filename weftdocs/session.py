@@ -42,6 +42,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where the input has fewer parts than there are cores, as one small file has.
+
+    An input of more parts, that is any large one, is left as it is. Filters and columns still reach the scan.
+    """
+    sc = df.sparkSession.sparkContext
+    cores = sc.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Send this package to the Python workers, once per application."""
     sc = spark.sparkContext

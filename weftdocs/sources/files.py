@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,7 +11,7 @@ from weftdocs.functions.text import parse_numeric
 
 JUNK = r"(^|/)(\.[^/]*|~\$[^/]*|Thumbs\.db|desktop\.ini)$"
 # How bytes of unknown encoding are tried, in this order.
-CHARSETS = ("UTF-8", "windows-31j", "windows-1252")
+CHARSETS = ("utf-8-sig", "cp932", "cp1252")
 
 
 def walk(spark: SparkSession, folder: str, content: bool = False) -> DataFrame:
@@ -32,11 +31,20 @@ def walk(spark: SparkSession, folder: str, content: bool = False) -> DataFrame:
 
 
 def decoded(content: str | Column) -> Column:
-    """Bytes as text: the first encoding that reads them without loss."""
-    c = F.col(content) if isinstance(content, str) else content
-    loss = lambda s: s.contains("�")
-    tries = [F.try_validate_utf8(c.cast("string")), *[F.decode(c, cs) for cs in CHARSETS[1:]]]
-    return reduce(lambda rest, t: F.when(t.isNotNull() & ~loss(t), t).otherwise(rest), reversed(tries), F.decode(c, "ISO-8859-1"))
+    """Bytes as text: the first encoding that reads them without loss. SQL's decode knows Unicode and Latin-1 only."""
+
+    def read(b: bytes | None) -> str | None:
+        for charset in CHARSETS if b is not None else ():
+            try:
+                return b.decode(charset)
+            except UnicodeDecodeError:
+                pass
+        return None if b is None else b.decode("latin-1")
+
+    def each(batch: pd.Series) -> pd.Series:
+        return batch.map(read)
+
+    return F.pandas_udf(each, T.StringType())(F.col(content) if isinstance(content, str) else content)
 
 
 def texts(spark: SparkSession, folder: str, exts: tuple[str, ...] = ("txt", "md", "py", "toml", "log")) -> DataFrame:
