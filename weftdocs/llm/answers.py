@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftdocs.llm.lookalike import classes
-from weftdocs.session import cut, table
+from weftdocs.session import cut, spread, table
 
 # ---- fixed values: word lists ----
 NULL_WORDS = {"null", "none", "nil", "nan", "na", "n/a", "#n/a", "undefined", "nul", "(null)", "<na>", "nat", "void"}
@@ -300,4 +300,4 @@ def defects(df: DataFrame, key: str, question: str, answers: list[str]) -> DataF
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    return defects(table(spark, folder, "gold_100_review"), "review_id", "question", ["system_answer", "gold_v3"])
+    return defects(spread(table(spark, folder, "gold_100_review")), "review_id", "question", ["system_answer", "gold_v3"])

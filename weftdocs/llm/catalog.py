@@ -10,11 +10,15 @@ QUERIES = {
     "p2_found": answers.p2_found,
     "p3_found": neighbours.p3_found,
     "p4_found": lookalike.p4_found,
+    "p4_unified": lookalike.p4_unified,
     "p5_found": scanned.p5_found,
+    "p5_repaired": scanned.p5_repaired,
     "p6_found": pack.p6_found,
     "p6_fill": pack.p6_fill,
     "p7_found": leak.p7_found,
+    "p7_passages": leak.p7_passages,
     "p8_found": mojibake.p8_found,
+    "p8_restored": mojibake.p8_restored,
 }
 
 ORACLE = {"p1_found": split.P1_SQL, "p6_found": pack.P6_SQL}

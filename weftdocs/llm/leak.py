@@ -27,10 +27,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftdocs.session import cut, table
+from weftdocs.session import cut, spread, table
 
 SHORT, LONG = 6, 12
-QUARTERS, RAREST, AGREEING = 4, 8, 4
+QUARTERS, RAREST, AGREEING = 4, 10, 4
 BUCKET, SLACK = 64, 16
 SHARE, PENALTY = 0.5, 4.0
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -156,12 +156,15 @@ def index(docs: DataFrame, doc: str, text: str, terms: np.ndarray) -> DataFrame:
 
 
 def anchors(terms: DataFrame, postings: DataFrame) -> DataFrame:
-    """(item, offset, term): the rarest terms of each quarter of each item."""
+    """(item, offset, term): of each quarter of each item, the rarest terms that the corpus holds.
+
+    Of equally rare ones a hash decides, so that one altered place does not touch them all.
+    """
     df = postings.groupBy("term").agg(F.count_distinct("doc").alias("df"))
     uses = terms.groupBy("term").agg(F.count_distinct("item").alias("uses"))
     quarter = F.least(F.floor(F.col("offset") * QUARTERS / F.col("size")), F.lit(QUARTERS - 1))
-    order = Window.partitionBy("item", "quarter").orderBy(F.coalesce("df", F.lit(0)), "uses", "offset")
-    ranked = terms.join(uses, "term").join(df, "term", "left").withColumn("quarter", quarter).withColumn("rank", F.row_number().over(order))
+    order = Window.partitionBy("item", "quarter").orderBy("df", "uses", F.xxhash64("term", "offset"))
+    ranked = terms.join(uses, "term").join(df, "term").withColumn("quarter", quarter).withColumn("rank", F.row_number().over(order))
     return ranked.filter(F.col("rank") <= RAREST).select("item", "offset", "term")
 
 
@@ -253,5 +256,11 @@ def find(docs: DataFrame, doc: str, items: DataFrame, item: str, text: str = "te
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    docs, items = table(spark, folder, "documents"), table(spark, folder, "eval_items")
+    docs, items = spread(table(spark, folder, "documents")), table(spark, folder, "eval_items")
     return find(docs, "doc_id", items, "item_id").select("doc_id", "item_id")
+
+
+def p7_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaks with the share of the item that the document holds."""
+    docs, items = spread(table(spark, folder, "documents")), table(spark, folder, "eval_items")
+    return find(docs, "doc_id", items, "item_id").withColumn("share", F.round("share", 4))

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftdocs.session import cut, table
+from weftdocs.session import cut, spread, table
 
 # Letters of another script with the shape of a Latin letter (Cyrillic, Greek, Armenian).
 SHAPES = {
@@ -231,6 +231,13 @@ def look_alikes(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    docs = look_alikes(table(spark, folder, "extracted_docs"), "ext_id", "text").select(F.lit("extracted_docs").alias("src"), "key_a", "key_b")
-    asked = look_alikes(table(spark, folder, "gold_100_review"), "review_id", "question").select(F.lit("gold_100_review").alias("src"), "key_a", "key_b")
+    docs = look_alikes(spread(table(spark, folder, "extracted_docs")), "ext_id", "text").select(F.lit("extracted_docs").alias("src"), "key_a", "key_b")
+    asked = look_alikes(spread(table(spark, folder, "gold_100_review")), "review_id", "question").select(F.lit("gold_100_review").alias("src"), "key_a", "key_b")
     return docs.unionByName(asked)
+
+
+def p4_unified(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows whose text changes, with their consistent form."""
+    docs = unify(spread(table(spark, folder, "extracted_docs")), "ext_id", "text").select(F.lit("extracted_docs").alias("src"), F.col("ext_id").alias("key"), "canonical", F.col("text").alias("was"))
+    asked = unify(spread(table(spark, folder, "gold_100_review")), "review_id", "question").select(F.lit("gold_100_review").alias("src"), F.col("review_id").alias("key"), "canonical", F.col("question").alias("was"))
+    return docs.unionByName(asked).filter("canonical <> was").drop("was")

@@ -166,11 +166,13 @@ def unit(vectors: DataFrame, key: str, vector: str) -> DataFrame:
 def top_pairs(df: DataFrame, key: str, vector: str, k: int = K, least: float = LEAST, cell: int = CELL, overlap: int = OVERLAP) -> DataFrame:
     """(id_a, id_b), id_a < id_b: pairs of which one is among the k most similar to the other, from `least` on.
 
-    Vectors that are null, all zero, or hold null, NaN or infinite values have no neighbours. All vectors
-    must have one length. Of equally similar vectors those with smaller ids come first. Copies of one
+    Vectors that are null, empty, all zero, of another length than most, or that hold null, NaN or
+    infinite values have no neighbours. Of equally similar vectors those with smaller ids come first. Copies of one
     vector are neighbours of similarity one. Rows must have unique keys; other columns are ignored.
     """
-    rows = cut(unit(df, key, vector))
+    usual = df.groupBy(F.size(vector).alias("_size")).agg(F.count("*").alias("_n")).filter("_size > 0").orderBy(F.desc("_n"), "_size").limit(1)
+    size = [r["_size"] for r in usual.collect()]
+    rows = cut(unit(df.filter(F.size(vector) == (size[0] if size else 0)), key, vector))
     n = rows.count()
     if n < 2:
         return rows.select(F.col("id").alias("id_a"), F.col("id").alias("id_b")).limit(0)
