@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftdocs.functions import forms as N
 from weftdocs.functions import text as X
 from weftdocs.operators import diff, evidence, formula, joins, lines, scoring, search, stats
 from weftdocs.sources import files
@@ -216,3 +217,30 @@ def test_batch_windows(spark):
     assert events.once(e).count() == 2
     assert events.hourly(e).count() == 2 and events.sliding(e).count() == 4
     assert sorted(r.n for r in events.sessions(e).collect()) == [1, 2]
+
+
+def test_chunks_against_a_literal_reading(spark):
+    texts = ["", "a" * 50, "ab\ncd\n" * 30, "x" * 25 + "\n" + "y" * 90]
+    d = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    got = [None if r.c is None else [(x.start, x.end) for x in r.c] for r in d.select(N.chunk_starts("t", 40, 8).alias("c")).collect()]
+    for t, chunks in zip(texts, got, strict=False):
+        at, want = 0, []
+        while at < len(t):
+            end = min(at + 40, len(t))
+            if end < len(t):
+                ends = [i for i in range(at + 20, end) if t[i] == "\n"]
+                end = ends[-1] if ends else end
+            want.append((at, end))
+            at = len(t) if end == len(t) else max(end - 8, at + 1)
+        assert chunks == want
+    assert got[-1] is None
+
+
+def test_forms(spark):
+    assert one(spark, N.id_range("a", "b"), a="T08", b="T11") == ["T08", "T09", "T10", "T11"]
+    assert one(spark, N.id_range("a", "b"), a="T08", b="S11") is None and one(spark, N.id_range("a", "b"), a="T9", b="T1") is None
+    assert one(spark, N.small_number("c"), c="三") == 3 and one(spark, N.small_number("c"), c="12") == 12 and one(spark, N.small_number("c"), c="x") is None
+    assert one(spark, N.only_value("c", "n=([0-9]+)", "m=([0-9]+)"), c="n=1 n=2 m=7 m=7") == "7"
+    assert one(spark, N.normal_form("c"), c="e\u0301") == "é"
+    d = spark.createDataFrame([(["a"], ["a", "b"]), (["a"], ["b"]), (["a"], ["a"])], "o array<string>, n array<string>")
+    assert [r.x for r in d.select(N.appended(F.col("o"), F.col("n")).alias("x")).collect()] == [["b"], None, None]

@@ -98,7 +98,7 @@ def version_base(name: str | Column) -> Column:
 
 
 def clip(text: str | Column, limit: int) -> Column:
-    c = col(text)
+    c = col(text).cast("string")
     return F.when(F.length(c) <= limit, c).otherwise(F.concat(F.substring(c, 1, limit - 1), F.lit("…")))
 
 
