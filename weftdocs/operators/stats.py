@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from weftdocs.operators.search import top
 
 PERCENTS = (10, 25, 50, 75, 90, 95)
+RANGES = 1000  # ranges of scores that are swept side by side
 
 
 def melt(df: DataFrame, columns: list[str], *keep: str) -> DataFrame:
@@ -96,7 +97,9 @@ def f1_sweep(df: DataFrame, score: str, truth: str) -> DataFrame:
     Rows of one score are taken together; of equal F1 the lower threshold wins. Scores are grouped first,
     so the running sums go over distinct scores only, in ranges: sums of the ranges above are added.
     """
-    groups = df.groupBy(F.col(score).alias("t")).agg(F.sum(truth).alias("p"), F.count("*").alias("n")).withColumn("part", F.floor("t"))
+    span = F.broadcast(df.agg(F.min(score).alias("lo"), F.max(score).alias("hi")))  # one row
+    part = F.coalesce(F.least(F.floor(F.try_divide((F.col("t") - F.col("lo")) * RANGES, F.col("hi") - F.col("lo"))), F.lit(RANGES - 1)), F.lit(0))
+    groups = df.groupBy(F.col(score).cast("double").alias("t")).agg(F.sum(truth).alias("p"), F.count("*").alias("n")).crossJoin(span).select("t", "p", "n", part.alias("part"))
     above = groups.groupBy("part").agg(F.sum("p").alias("pp"), F.sum("n").alias("nn"))
     run = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
     before = above.select("part", F.coalesce(F.sum("pp").over(run), F.lit(0)).alias("p0"), F.coalesce(F.sum("nn").over(run), F.lit(0)).alias("n0"))  # one row per range
