@@ -122,3 +122,34 @@ def test_find_garbled(spark):
     got = {r.doc_id: (r.places > 0, r.lost > 0) for r in mojibake.find(d, "doc_id").collect()}
     assert set(got) == {100, 101, 102, 103, 200, 201} and got[200][1] and got[201][1]
     assert mojibake.find(d.limit(0), "doc_id").count() == 0
+
+
+def hot_copies():
+    """One sound copy of an item and a hot group of copies altered at the same place of each quarter."""
+    rng = np.random.default_rng(3)
+    item = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxy"), 240))
+    altered = "".join("z" if i % 60 == 30 else c for i, c in enumerate(item))
+    return item, [(0, item), *((n, f"{n} " + altered) for n in range(1, 30)), (90, item[:100]), (91, altered[60:200])]
+
+
+def test_leaks_of_a_hot_altered_copy(spark):
+    item, docs = hot_copies()
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    i = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert sorted(r.doc_id for r in leak.find(d, "doc_id", i, "item_id").collect()) == [*range(30), 91]
+
+
+def test_bound_refuses_no_passage():
+    rng = np.random.default_rng(4)
+    item = rng.integers(97, 123, 200).astype("u2")
+    kept = 0
+    for _ in range(200):
+        doc = item.copy()
+        doc[rng.random(200) < rng.uniform(0.1, 0.3)] = 90
+        doc = np.delete(doc, rng.integers(0, 200, rng.integers(0, 6)))
+        right = np.full((1, 200 + 2 * leak.SLACK), leak.END, "u2")
+        right[0, leak.SLACK : leak.SLACK + len(doc)] = doc
+        (a, b), hope = leak.aligned([(item, right[0], leak.SLACK, leak.SLACK)])[0], leak.hopeful(item[None], right, np.array([200]), 0.5)[0]
+        kept += b - a >= 100
+        assert hope or b - a < 100
+    assert 20 < kept < 200

@@ -3,17 +3,15 @@
 A positional inverted index restricted to the terms of the test items:
 
 1. Texts are brought to one form: NFKC, lower case, only letters and digits. A term is a window of 6
-   characters with CJK in it, or of 12 without. `test_terms` lists the terms of each item with their
-   offsets.
-2. `index` scans the corpus once and keeps, per document, the postings (term, position) of test terms.
-   The term set is as large as the test set; a corpus text is hashed with numpy, a batch at a time.
-3. `anchors`: document frequencies come from the postings. Of every quarter of an item the rarest terms
-   are its anchors. A passage of half an item holds at least one whole quarter.
-4. `candidates`: postings of anchors, shifted by the anchor's offset in the item, agree on where the
-   item would start in the document. Places where several anchors agree, within some slack for altered
-   text, are candidates.
-5. `find`: a banded local alignment over the whole item decides. Altered characters cost `PENALTY`, so
-   a passage ends where more than about one character in ten is altered.
+   characters with CJK in it, or of 12 without. `Terms` lists the terms of all items with
+   their offsets.
+2. The corpus is scanned once; a text is hashed with numpy, a batch at a time. `Terms` is as large as the
+   test set and is broadcast. Every posting of a test term counts, however frequent the term is.
+3. `candidates`: postings, shifted by the term's offset in the item, say where the item would start in the
+   document. Every such place is a candidate; those near each other, as in altered text, are one.
+4. `hopeful`: an upper bound on what an alignment can reach, so that nothing is lost by it.
+5. `aligned`: a banded local alignment over the whole item decides, in the same task. Altered characters
+   cost `PENALTY`, so a passage ends where more than about one character in ten is altered.
 """
 
 from __future__ import annotations
@@ -24,18 +22,18 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftdocs.session import cut, spread, table
+from weftdocs.session import spread, table
 
 SHORT, LONG = 6, 12
-QUARTERS, RAREST, AGREEING = 4, 10, 4
-BUCKET, SLACK = 64, 16
+BUCKET, SLACK, STEP = 64, 16, 16
+GRAM = 3  # characters of a start counted by the bound
 SHARE, PENALTY = 0.5, 4.0
 BASE = np.uint64(0x9E3779B97F4A7C15)
 END = 1  # stands between texts
-BATCH_ROWS = 256  # texts hashed at a time, for memory only
+BATCH_ROWS, BLOCK = 256, 1 << 20  # texts hashed and uses of terms expanded at a time, for memory only
 
 
 @lru_cache(None)
@@ -104,122 +102,181 @@ def hashes(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return value, free
 
 
-def test_terms(items: DataFrame, item: str, text: str) -> DataFrame:
-    """(item, offset, term, size, form): each term of each item; form is the item's text in its one form."""
+def forms(items: DataFrame, item: str, text: str) -> DataFrame:
+    """(item, form): each item's text in its one form, once per key."""
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for key, t in zip(batch["_item"], batch["_text"], strict=True):
-                codes = normal([t.replace(chr(END), " ")])[:-1]
-                value, free = hashes(codes)
-                at = np.flatnonzero(free)
-                if len(at):
-                    yield pd.DataFrame({"item": key, "offset": at, "term": value[at].view("i8"), "size": len(codes), "form": codes.tobytes().decode("utf-16-le")})
+    @F.pandas_udf("string")
+    def form(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: normal([t.replace(chr(END), " ")])[:-1].tobytes().decode("utf-16-le"))
 
-    source = items.select(F.col(item).alias("_item"), F.col(text).alias("_text")).filter(F.length("_text") > 0)
-    kind = source.schema["_item"].dataType.simpleString()
-    return source.mapInPandas(of, f"item {kind}, offset int, term long, size int, form string")
+    return items.filter(F.length(text) > 0).select(F.col(item).alias("item"), form(text).alias("form")).dropDuplicates(["item"])
 
 
-def index(docs: DataFrame, doc: str, text: str, terms: np.ndarray) -> DataFrame:
-    """(doc, form, terms, positions) of documents with at least AGREEING postings of test terms."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.sort(terms.view("u8")))
+class Terms:
+    """Positional index of the test items: each term with all its places (item, offset)."""
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        wanted = shared.value
-        sieve = np.zeros(1 << 22, bool)
-        sieve[(wanted >> np.uint64(42)).astype("i8")] = True
-        for big in batches:
-            for at_row in range(0, len(big), BATCH_ROWS):
-                yield from found(big.iloc[at_row : at_row + BATCH_ROWS], wanted, sieve)
+    def __init__(self, texts: list[str]):
+        self.codes = [np.frombuffer(t.encode("utf-16-le"), "u2") for t in texts]
+        self.size = np.array([len(c) for c in self.codes], dtype="i8")
+        first = np.cumsum(self.size + 1) - self.size - 1
+        joined = np.concatenate([x for c in self.codes for x in (c, np.array([END], "u2"))] or [np.array([END], "u2")])
+        value, free = hashes(joined)
+        at = np.flatnonzero(free)
+        at = at[np.argsort(value[at], kind="stable")]
+        self.term, self.first, self.uses = np.unique(value[at], return_index=True, return_counts=True)
+        self.item = np.searchsorted(first, at, side="right") - 1
+        self.offset = at - first[self.item] if len(at) else at
+        self.sieve = np.zeros(1 << 22, bool)
+        self.sieve[(self.term >> np.uint64(42)).astype("i8")] = True
 
-    def found(batch: pd.DataFrame, wanted: np.ndarray, sieve: np.ndarray) -> Iterator[pd.DataFrame]:
-        codes = normal([t.replace(chr(END), " ") for t in batch["_text"]])
+    def postings(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position, k): the positions of test terms, and which term."""
         value, free = hashes(codes)
-        at = np.flatnonzero(sieve[(value >> np.uint64(42)).astype("i8")] & free)
-        got = value[at]
-        k = np.searchsorted(wanted, got)
-        at = at[wanted[np.minimum(k, len(wanted) - 1)] == got]
-        ends = np.flatnonzero(codes == END)
-        of = np.searchsorted(ends, at)
-        first = np.concatenate([[0], ends[:-1] + 1])
-        rows = []
-        for d in np.flatnonzero(np.bincount(of, minlength=len(ends)) >= AGREEING):
-            own = at[of == d]
-            rows.append((batch["_doc"].iat[d], codes[first[d] : ends[d]].tobytes().decode("utf-16-le"), value[own].view("i8"), own - first[d]))
-        if rows:
-            yield pd.DataFrame(rows, columns=["doc", "form", "terms", "positions"])
-
-    source = docs.select(F.col(doc).alias("_doc"), F.col(text).alias("_text")).filter(F.length("_text") > 0)
-    kind = source.schema["_doc"].dataType.simpleString()
-    return source.mapInPandas(scan, f"doc {kind}, form string, terms array<long>, positions array<int>")
+        at = np.flatnonzero(self.sieve[(value >> np.uint64(42)).astype("i8")] & free)
+        k = np.minimum(np.searchsorted(self.term, value[at]), len(self.term) - 1)
+        same = self.term[k] == value[at]
+        return at[same], k[same]
+
+    def starts(self, at: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(posting, item, start): where each item that has the term would start, for every place of the term."""
+        n = self.uses[k]
+        source = np.repeat(np.arange(len(at)), n)
+        place = np.arange(len(source)) + np.repeat(self.first[k] - np.cumsum(n) + n, n)
+        return source, self.item[place], at[source] - self.offset[place]
+
+
+def candidates(doc: np.ndarray, item: np.ndarray, start: np.ndarray, items: int) -> np.ndarray:
+    """Rows (doc, item, low, high): starts of the item in the document, those near each other as one candidate."""
+    if not len(start):
+        return np.zeros((0, 4), "i8")
+    bucket, least = start // BUCKET, start.min() // BUCKET - 1
+    wide = bucket.max() - least + 1
+    # overlapping buckets, so that starts near each other always share one
+    pair = (doc * items + item) * wide - least
+    key, start = np.concatenate([pair + bucket, pair + bucket - 1]), np.concatenate([start, start])
+    order = np.argsort(key, kind="stable")
+    key, start = key[order], start[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    low, high = np.minimum.reduceat(start, first), np.maximum.reduceat(start, first)
+    pair = key[first] // wide
+    # what lies within its neighbour is left to that one
+    inside = lambda i, j: (pair[i] == pair[j]) & (low[i] >= low[j]) & (high[i] <= high[j])
+    kept = np.ones(len(first), bool)
+    kept[1:] &= ~inside(slice(1, None), slice(None, -1))
+    kept[:-1] &= ~(inside(slice(None, -1), slice(1, None)) & ~inside(slice(1, None), slice(None, -1)))
+    pair, low, high = pair[kept], low[kept], high[kept]
+    high = low + (high - low) // STEP * STEP + STEP - 1  # widths of few sizes
+    return np.stack([pair // items, pair % items, low, high], 1)
+
+
+def grams(codes: np.ndarray) -> np.ndarray:
+    """A number from 1 for the GRAM characters from each place on; different ones seldom share it."""
+    n = codes.shape[1] - GRAM + 1
+    mixed = np.zeros((len(codes), n), "u4")
+    for g in range(GRAM):
+        mixed = mixed * np.uint32(0x01000193) + codes[:, g : g + n]
+    return ((mixed * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype("u2") | np.uint16(1)
+
+
+def hopeful(left: np.ndarray, right: np.ndarray, size: np.ndarray, share: float) -> np.ndarray:
+    """Whether an alignment in the band can reach the share: an upper bound, nothing that reaches it is refused.
+
+    All scores on the way of a local alignment are positive, so its first n offsets, n being the share, hold
+    less than n / (1 + PENALTY) altered ones. Each takes at most GRAM of the n - GRAM + 1 starts of GRAM equal
+    characters, so more than n - GRAM + 1 - GRAM * n / (1 + PENALTY) starts are left on some diagonal of the band.
+    """
+    a, b = grams(left), grams(right)
+    starts = a.shape[1]
+    a[np.arange(starts) > (size - GRAM)[:, None]] = 0  # no gram
+    hit = np.zeros(a.shape, bool)
+    for d in range(right.shape[1] - left.shape[1] + 1):
+        hit |= b[:, d : d + starts] == a
+    total = np.zeros((len(left), starts + 1), "i4")
+    np.cumsum(hit, axis=1, out=total[:, 1:])
+    n = np.ceil(size * share - 1e-9).astype("i8")
+    ends = np.minimum(np.arange(total.shape[1]) + np.maximum(n - GRAM + 1, 0)[:, None], total.shape[1] - 1)
+    most = (np.take_along_axis(total, ends, 1) - total).max(1)
+    return most > n - GRAM + 1 - GRAM * n / (1 + PENALTY) - 1e-9
+
+
+def found_in(codes: np.ndarray, terms: Terms, share: float) -> list[tuple[int, int, np.ndarray, int, int]]:
+    """(document, item, part, low, high): the places of the texts that have to be aligned, and the text around them."""
+    at, k = terms.postings(codes)
+    ends = np.flatnonzero(codes == END)
+    first = np.concatenate([[0], ends[:-1] + 1])
+    of = np.searchsorted(ends, at)
+    out = []
+    # memory only: whole documents, about BLOCK uses of terms at a time
+    uses = np.concatenate([[0], np.cumsum(np.bincount(of, terms.uses[k], len(ends)))])
+    block = (uses[:-1] // BLOCK).astype("i8")
+    for b in np.unique(block[of]):
+        own = block[of] == b
+        source, item, start = terms.starts((at - first[of])[own], k[own])
+        rows = candidates(of[own][source], item, start, len(terms.size))
+        group = (rows[:, 3] - rows[:, 2]) * (1 << 32) + terms.size[rows[:, 1]] // 64
+        order = np.argsort(group, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+            for i in range(0, len(part), 256):
+                some = rows[part[i : i + 256]]
+                if not len(some):
+                    continue
+                doc, item, low = some[:, 0], some[:, 1], some[:, 2]
+                size, wide = terms.size[item], int(some[0, 3] - some[0, 2]) + 2 * SLACK
+                left = np.zeros((len(some), max(int(size.max()), GRAM)), "u2")
+                for r, x in enumerate(item):
+                    left[r, : size[r]] = terms.codes[x]
+                place = (low - SLACK)[:, None] + np.arange(left.shape[1] + wide)
+                within = (place >= 0) & (place < (ends - first)[doc][:, None])
+                right = np.where(within, codes[np.clip(place + first[doc][:, None], 0, len(codes) - 1)], np.uint16(END))
+                for r in np.flatnonzero(hopeful(left, right, size, share)):
+                    out.append((int(doc[r]), int(item[r]), right[r], SLACK, SLACK + int(some[r, 3] - low[r])))
+    return out
 
 
-def anchors(terms: DataFrame, postings: DataFrame) -> DataFrame:
-    """(item, offset, term): of each quarter of each item, the rarest terms that the corpus holds.
+def aligned(pairs: list[tuple[str | np.ndarray, str | np.ndarray, int, int]]) -> np.ndarray:
+    """For (item, document, low, high): first and last offset of the item's best passage, by banded local alignment.
 
-    Of equally rare ones a hash decides, so that one altered place does not touch them all.
+    A cell holds the score and, below it, how early its passage starts, so that of equal scores the longer passage is taken.
     """
-    df = postings.groupBy("term").agg(F.count_distinct("doc").alias("df"))
-    uses = terms.groupBy("term").agg(F.count_distinct("item").alias("uses"))
-    quarter = F.least(F.floor(F.col("offset") * QUARTERS / F.col("size")), F.lit(QUARTERS - 1))
-    order = Window.partitionBy("item", "quarter").orderBy("df", "uses", F.xxhash64("term", "offset"))
-    ranked = terms.join(uses, "term").join(df, "term").withColumn("quarter", quarter).withColumn("rank", F.row_number().over(order))
-    return ranked.filter(F.col("rank") <= RAREST).select("item", "offset", "term")
-
-
-def candidates(postings: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(doc, item, low, high): starts of the item in the document on which enough anchors agree."""
-    shifted = postings.join(chosen, "term").select("doc", "item", "offset", (F.col("position") - F.col("offset")).alias("start"))
-    bucket = F.floor(F.col("start") / BUCKET)
-    # overlapping buckets, so that agreeing starts always share one
-    placed = shifted.withColumn("bucket", F.explode(F.array(bucket, bucket - 1)))
-    agreed = placed.groupBy("doc", "item", "bucket").agg(F.count_distinct("offset").alias("n"), F.min("start").alias("low"), F.max("start").alias("high"))
-    return agreed.filter(F.col("n") >= AGREEING).select("doc", "item", "low", "high").distinct()
-
-
-def aligned(pairs: list[tuple[str, str, int, int]]) -> np.ndarray:
-    """For (item, document, low, high): first and last offset of the item's best passage, by banded local alignment."""
     n = len(pairs)
-    a = [np.frombuffer(x.encode("utf-16-le"), "u2") for x, _, _, _ in pairs]
-    b = [np.frombuffer(x.encode("utf-16-le"), "u2") for _, x, _, _ in pairs]
+    a, b = ([np.frombuffer(x.encode("utf-16-le"), "u2") if isinstance(x, str) else x for x in side] for side in list(zip(*pairs, strict=True))[:2])
     low = np.array([p[2] - SLACK for p in pairs])
     width = max(p[3] - p[2] for p in pairs) + 2 * SLACK + 1
     rows = max(map(len, a))
-    left = np.zeros((n, rows), "u2")
-    right = np.zeros((n, rows + width), "u2")  # column i + k holds the document at low + i + k
+    left = np.zeros((rows, n), "u2")
+    right = np.zeros((rows + width, n), "u2")  # line i + k holds the document at low + i + k
     for i in range(n):
-        left[i, : len(a[i])] = a[i]
+        left[: len(a[i]), i] = a[i]
         s = low[i]
         part = b[i][max(0, s) : max(0, s + rows + width)]
-        right[i, max(0, -s) : max(0, -s) + len(part)] = part
-    score = np.zeros((n, width + 1))
-    start = np.zeros((n, width + 1), "i4")
-    best, first, last = np.zeros(n), np.zeros(n, "i4"), np.zeros(n, "i4")
-    steps, cols = np.arange(width) * PENALTY, np.arange(width)
-    every = np.arange(n)
+        right[max(0, -s) : max(0, -s) + len(part), i] = part
+    left[left == 0] = END  # the document's part has no END within
+    right[right == END] = 0
+    bits = rows.bit_length()
+    kind = np.int32 if (rows + PENALTY * width) * 2 ** (bits + 1) < 2**31 else np.int64
+    one, cost = kind(1 << bits), kind(int(PENALTY) << bits)
+    score = np.full((width + 1, n), rows, kind)
+    score[width] = 0
+    steps = (np.arange(width, dtype=kind) * cost)[:, None]
+    best, last = np.full(n, rows, kind), np.zeros(n, "i4")
     for r in range(rows):
-        same = (right[:, r : r + width] == left[:, r : r + 1]) & (left[:, r : r + 1] != 0)
-        across = score[:, :width] + np.where(same, 1.0, -PENALTY)
-        down = score[:, 1:] - PENALTY
-        cur, own = np.maximum(across, down), np.where(across >= down, start[:, :width], start[:, 1:])
-        fresh = cur <= 0
-        cur[fresh] = 0
-        own = np.where(fresh, r + 1, own)
-        run = cur + steps
-        top = np.maximum.accumulate(run, axis=1)
-        source = np.maximum.accumulate(np.where(run == top, cols, 0), axis=1)
-        over = top - steps > cur
-        if over.any():
-            own = np.where(over, np.take_along_axis(own, source, 1), own)
-            cur = np.where(over, top - steps, cur)
-        score[:, :width], start[:, :width] = cur, own
-        k = cur.argmax(1)
-        now = cur[every, k]
-        better = now > best
+        same = right[r : r + width] == left[r]
+        cur = score[:width] - cost
+        np.add(cur, one + cost, out=cur, where=same)
+        np.maximum(cur, score[1:] - cost, out=cur)
+        np.copyto(cur, kind(rows - r - 1), where=cur < one)
+        cur += steps
+        k = 1
+        while k < width:
+            cur[k:] = np.maximum(cur[k:], cur[:-k])
+            k *= 2
+        cur -= steps
+        score[:width] = cur
+        now = cur.max(0)
+        better = now >> bits > best >> bits
         best = np.where(better, now, best)
-        first = np.where(better, own[every, k], first)
         last = np.where(better, r + 1, last)
+    first = np.where(last > 0, rows - (best & (one - 1)), 0)
     return np.stack([first, last], 1)
 
 
@@ -231,27 +288,30 @@ def find(docs: DataFrame, doc: str, items: DataFrame, item: str, text: str = "te
     ignored. Without items or without documents there are no rows. An item shorter than a term cannot be
     indexed and matches nothing.
     """
-    terms = cut(test_terms(items, item, item_text))
-    wanted = np.array([r["term"] for r in terms.select("term").distinct().collect()], dtype="i8")  # as large as the test set
-    if not len(wanted):
-        wanted = np.array([0], dtype="i8")
-    found = cut(index(docs, doc, text, wanted))
-    postings = found.select("doc", F.explode(F.arrays_zip("terms", "positions")).alias("p")).select("doc", F.col("p.terms").alias("term"), F.col("p.positions").alias("position"))
-    places = candidates(postings, anchors(terms, postings))
-    forms = terms.groupBy("item").agg(F.first("form").alias("item_form"))
-    full = places.join(found.select("doc", "form").dropDuplicates(["doc"]), "doc").join(forms, "item")
-
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for _, part in batch.groupby(((batch["high"] - batch["low"]) // 16) * 64 + batch["item_form"].str.len() // 64):
-                for i in range(0, len(part), 256):
-                    some = part.iloc[i : i + 256]
-                    span = aligned(list(zip(some["item_form"], some["form"], some["low"], some["high"], strict=True)))
-                    out = some[["doc", "item"]].assign(share=(span[:, 1] - span[:, 0]) / some["item_form"].str.len())
-                    yield out[out["share"] >= share]
-
-    kinds = {f.name: f.dataType.simpleString() for f in full.schema.fields}
-    passed = full.mapInPandas(check, f"doc {kinds['doc']}, item {kinds['item']}, share double")
+    held = forms(items, item, item_text).collect()  # as large as the test set
+    shared = docs.sparkSession.sparkContext.broadcast(([r["item"] for r in held], Terms([r["form"] for r in held])))
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, terms = shared.value
+        if not len(terms.term):
+            return
+        for big in batches:
+            places = []
+            for at_row in range(0, len(big), BATCH_ROWS):
+                batch = big.iloc[at_row : at_row + BATCH_ROWS]
+                codes = normal([t.replace(chr(END), " ") for t in batch["_text"]])
+                places += [(at_row + d, *rest) for d, *rest in found_in(codes, terms, share)]
+            places.sort(key=lambda p: (p[4] - p[3], terms.size[p[1]]))
+            for i in range(0, len(places), 256):
+                some = places[i : i + 256]
+                span = aligned([(terms.codes[k], part, low, high) for _, k, part, low, high in some])
+                reached = (span[:, 1] - span[:, 0]) / terms.size[[p[1] for p in some]]
+                good = np.flatnonzero(reached >= share)
+                if len(good):
+                    yield pd.DataFrame({"doc": big["_doc"].iloc[[some[g][0] for g in good]].to_numpy(), "item": [names[some[g][1]] for g in good], "share": reached[good]})
+
+    source = docs.select(F.col(doc).alias("_doc"), F.col(text).alias("_text")).filter(F.length("_text") > 0)
+    passed = source.mapInPandas(scan, f"doc {source.schema['_doc'].dataType.simpleString()}, item {items.schema[item].dataType.simpleString()}, share double")
     return passed.groupBy("doc", "item").agg(F.max("share").alias("share")).select(F.col("doc").alias(doc), F.col("item").alias(item), "share")
 
 
