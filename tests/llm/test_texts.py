@@ -153,3 +153,26 @@ def test_bound_refuses_no_passage():
         kept += b - a >= 100
         assert hope or b - a < 100
     assert 20 < kept < 200
+
+
+def test_find_garbled_in_hot_copies(spark):
+    words = ["Prüfung", "künftig", "Übergabe", "geprüft", "Prüfbericht"]
+    clean = [(i, f"{words[i % 5]} und {words[(i + 1) % 5]} {i}") for i in range(10)] + [(20, "une idée à l'été, même côté thé"), (21, "forêt naïve née blé")]
+    wrong = [(100 + i, t.encode().decode("cp1252", "replace")) for i, t in clean[:4]]
+    hot = [(200 + i, f"Note {i}: rÃ©union dÃ©jÃ  prÃªte") for i in range(40)]  # no twin, and more documents than any sound character has
+    d = spark.createDataFrame([*clean, *wrong, *hot, (300, "São Âmber, Zone Å–4")], "doc_id long, text string")
+    assert {r.doc_id for r in mojibake.find(d, "doc_id").collect()} == {*range(100, 104), *range(200, 240)}
+
+
+def test_find_garbled_by_single_bytes(spark):
+    words = ["geprüft", "künftig", "natürlich", "zurück", "früher"]
+    clean = [(i, f"{words[i % 5]} {words[(i + 2) % 5]} {i}, auf 20 m³ und Èze, Tür für Züge über Brücken") for i in range(10)]
+    wrong = [(100 + i, w.encode("cp1252").decode("mac_roman")) for i, w in enumerate(words)]
+    d = spark.createDataFrame([*clean, *wrong, (200, "Gemüse".encode("cp1252").decode("mac_roman"))], "doc_id long, text string")  # 200 has no twin
+    assert {r.doc_id for r in mojibake.find(d, "doc_id").collect()} == {*range(100, 105), 200}
+
+
+def test_twins_as_rare_as_each_other(spark):
+    words = ["Prüfung", "künftig", "Übergabe"]
+    d = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words).encode().decode("cp1252", "replace"))], "doc_id long, text string")
+    assert {r.doc_id for r in mojibake.find(d, "doc_id").collect()} == {2}
