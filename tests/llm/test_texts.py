@@ -176,3 +176,13 @@ def test_twins_as_rare_as_each_other(spark):
     words = ["Prüfung", "künftig", "Übergabe"]
     d = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words).encode().decode("cp1252", "replace"))], "doc_id long, text string")
     assert {r.doc_id for r in mojibake.find(d, "doc_id").collect()} == {2}
+
+
+def test_misread_characters_do_not_depend_on_the_partitions(spark):
+    clean = [(i, "txt", "毎日の学習計画を全員で確認する。") for i in range(400)]
+    line = "この資料の学習計画はまだ誰にも公開されていないものです"
+    pages = [(1000 + i, "pdf", "\n".join([line[k:] + line[:k] for k in range(0, 12, 3)] + ["毎日の学習計画を全員で確認する。" if i % 8 else "毎日の学習汁画を全員で確認する。"])) for i in range(40)]
+    d = spark.createDataFrame([*clean, *pages], "id long, kind string, text string")
+    counts = scanned.sketch(d, "text")
+    few, many = (scanned.confusions(d.filter("kind = 'pdf'").repartition(n), "text", counts) for n in (1, 40))
+    assert "計" in few.get("汁", []) and few == many
