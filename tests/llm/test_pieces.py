@@ -1,5 +1,3 @@
-import re
-
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -30,26 +28,48 @@ texts = st.text(alphabet="ab .!?\n。　é", min_size=0, max_size=300)
 @settings(max_examples=200, deadline=None)
 @given(texts)
 def test_ordered_plan_is_the_rule(text):
-    assert list(split.plan_ordered(text, 40, 8, 21)) == brute(text, 40, 8, 21)
+    assert split.best_plan(text, 40, 8, 21, "ordered") == brute(text, 40, 8, 21)
 
 
 @settings(max_examples=100, deadline=None)
 @given(texts)
 def test_total_plan_covers_and_is_no_worse(text):
     limit, overlap, least = 40, 8, 21
-    plan = split.plan_total(text, limit, overlap, least)
+    plan = split.best_plan(text, limit, overlap, least, "total")
     assert plan[0][0] == 0 and plan[-1][1] == len(text)
     for (_, e), (s, _) in zip(plan, plan[1:], strict=False):
         assert s == e - overlap
     assert all(e - s <= limit for s, e in plan) and all(e - s >= least for s, e in plan[:-1])
 
+    def penalty(e):
+        last, after = text[e - 1], text[e : e + 1]
+        return 0 if last == "\n" else 1 if last in "。！？" or (last in ".!?" and after == " ") else 2 if last in " 　" else 3
+
     def cost(p):
-        kinds = {**{i + 1: 2 for i, c in enumerate(text) if c in " 　"}, **{m.end(): 1 for m in split.SENTENCE.finditer(text)}, **{m.end(): 0 for m in re.finditer("\n", text)}}
-        return sum(split.PENALTY_WEIGHT * kinds.get(e, 3) + ((limit - e + s) / limit) ** 2 for s, e in p[:-1]) + ((limit - p[-1][1] + p[-1][0]) / limit) ** 2
+        return sum(penalty(e) + ((limit - e + s) / limit) ** 2 for s, e in p[:-1]) + ((limit - p[-1][1] + p[-1][0]) / limit) ** 2
 
     assert cost(plan) <= cost(brute(text, limit, overlap, least)) + 1e-9
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="ab .\n", max_size=90))
+def test_total_plan_is_the_best_of_all(text):
+    limit, overlap, least, n = 20, 4, 11, len(text)
+
+    def kind(e):
+        return 0 if text[e - 1] == "\n" else 1 if text[e - 1] == "." and text[e : e + 1] == " " else 2 if text[e - 1] == " " else 3
+
+    def least_cost(s):
+        if n - s <= limit:
+            return ((limit - n + s) / limit) ** 2
+        ends = [e for e in range(s + least, s + limit + 1) if kind(e) < 3] or [s + limit]
+        return min(kind(e) + ((s + limit - e) / limit) ** 2 + least_cost(e - overlap) for e in ends)
+
+    plan = split.best_plan(text, limit, overlap, least, "total")
+    got = sum(kind(e) + ((limit - e + s) / limit) ** 2 for s, e in plan[:-1]) + ((limit - plan[-1][1] + plan[-1][0]) / limit) ** 2
+    assert abs(got - least_cost(0)) < 1e-9
+
+
 def test_split_edges(spark):
     d = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "a" * 1200, "x"), (4, "b" * 1201, "x"), (4, "b" * 1201, "x"), (5, "c " * 20000, "x")], "id long, text string, piece_no string")
     rows = split.split_oversized(d, ["id"]).collect()

@@ -3,23 +3,20 @@
 A piece [s, e) must be at most `limit` characters and at least `least` unless it ends the text. Every
 end e has a penalty by the kind of boundary it stands on (new line 0, end of sentence 1, blank 2,
 nowhere 3) and an imbalance, the room it leaves unused. The next piece starts at e - overlap, so the
-best plan from a start depends on that start only: dynamic programming over starts.
+best plan from a start depends on that start only.
 
-Two objectives:
+`best_plan` is dynamic programming over all boundary positions of a text, from the last to the first:
+the cost of a start is the least, over all ends within reach, of the cost of that piece plus the
+discounted cost of the start after it. Two objectives differ in cost and discount:
 
-* `ordered`: plans are compared piece by piece, first by penalty, then by imbalance. Two ends of one
-  piece never have the same imbalance, so the first difference decides, and the recursion needs only
-  the starts that the best plan itself passes through. This is the objective of p1_found.
-* `total`: the sum over all pieces of penalty * weight + (unused / limit) ** 2 is minimised over
-  every boundary of the text.
+* `ordered`: penalty and then unused room, discounted so strongly that no later piece outweighs a
+  difference in an earlier one. Plans are compared piece by piece. This is the objective of p1_found.
+* `total`: penalty + (unused / limit) ** 2, without discount: the least sum over all pieces.
 """
 
 from __future__ import annotations
 
-import re
-from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,75 +25,75 @@ from weftdocs.session import table
 
 LIMIT, OVERLAP, LEAST = 1200, 180, 601
 
-# Boundaries by penalty: the end lies right after the match.
-SENTENCE = re.compile(r"[。！？]|[.!?](?= )")
-BLANKS = (" ", "　")
-PENALTY_WEIGHT = 1.0
-
-
-def last_end(text: str, low: int, high: int) -> tuple[int, int]:
-    """(penalty, end) of the cheapest and then latest end in low..high."""
-    at = text.rfind("\n", low - 1, high)
-    if at >= 0:
-        return 0, at + 1
-    best = max(text.rfind(mark, low - 1, high) for mark in "。！？")
-    for mark in (". ", "! ", "? "):
-        best = max(best, text.rfind(mark, low - 1, high + 1))
-    if best >= 0:
-        return 1, best + 1
-    best = max(text.rfind(mark, low - 1, high) for mark in BLANKS)
-    return (2, best + 1) if best >= 0 else (3, high)
-
-
-def plan_ordered(text: str, limit: int, overlap: int, least: int) -> Iterator[tuple[int, int]]:
-    """The best plan under piecewise comparison."""
-    start, n = 0, len(text)
-    while n - start > limit:
-        _, end = last_end(text, start + least, start + limit)
-        yield start, end
-        start = end - overlap
-    yield start, n
-
-
-def plan_total(text: str, limit: int, overlap: int, least: int) -> list[tuple[int, int]]:
-    """The plan of least total cost over all boundaries; a start is reached only from a kept end."""
+NOWHERE = 3  # penalty of an end that is no boundary
+
+
+def boundaries(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(ends, penalties) of all natural boundaries, in order; an end lies right after its mark."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "u4")
+    after = np.append(codes[1:], 0)
+    penalty = np.full(len(codes), NOWHERE, "i8")
+    penalty[np.isin(codes, [ord(c) for c in " \u3000"])] = 2
+    penalty[np.isin(codes, [ord(c) for c in "。！？"]) | (np.isin(codes, [ord(c) for c in ".!?"]) & (after == ord(" ")))] = 1
+    penalty[codes == ord("\n")] = 0
+    at = np.flatnonzero(penalty < NOWHERE)
+    return at + 1, penalty[at]
+
+
+def best_plan(text: str, limit: int, overlap: int, least: int, objective: str) -> list[tuple[int, int]]:
+    """(start, end) of the pieces of the cheapest plan. A piece without a boundary in reach ends at the limit."""
     n = len(text)
-    kind: dict[int, int] = {}
-    for i, ch in enumerate(text):
-        if ch in BLANKS:
-            kind[i + 1] = 2
-    for m in SENTENCE.finditer(text):
-        kind[m.end()] = 1
-    for m in re.finditer("\n", text):
-        kind[m.end()] = 0
-    ends = sorted(kind)
-    # Starts are handled from left to right: cost so far and the end each start came from.
-    best: dict[int, tuple[float, int | None]] = {0: (0.0, None)}
-    came: dict[int, int] = {}
-    todo, final = [0], (float("inf"), 0)
-    while todo:
-        start = todo.pop(0)
-        cost = best[start][0]
-        if n - start <= limit:
-            final = min(final, (cost + ((limit - n + start) / limit) ** 2, start))
-            continue
-        low, high = start + least, start + limit
-        options = ends[bisect_left(ends, low) : bisect_right(ends, high)] or [high]
-        for end in options:
-            total = cost + PENALTY_WEIGHT * kind.get(end, 3) + ((high - end) / limit) ** 2
-            after = end - overlap
-            if after not in best:
-                todo.insert(bisect_left(todo, after), after)
-            elif best[after][0] <= total:
-                continue
-            best[after], came[after] = (total, start), end
-    pieces, start, end = [], final[1], n
+    ends, penalty = boundaries(text)
+    ordered = objective == "ordered"
+    # ordered: a step costs a whole number below 1 / discount, so that all later steps together cost less than one
+    discount = 1 / ((NOWHERE + 2) * (limit + 1)) if ordered else 1.0
+    steps = penalty * float(limit + 1) if ordered else penalty * 1.0
+
+    def last(start: int) -> float:
+        return 0.0 if ordered else ((limit - n + start) / limit) ** 2
+
+    def options(high: np.ndarray, part: slice) -> np.ndarray:
+        room = high - ends[part]
+        return steps[part] + (room if ordered else (room / limit) ** 2)
+
+    starts = ends - overlap
+    low, high = np.searchsorted(ends, starts + least), np.searchsorted(ends, starts + limit, side="right")
+    after = np.zeros(len(ends))  # least cost from the start that follows each end
+    chosen: dict[int, int] = {}  # start -> end
+    cost: dict[int, float] = {}  # of starts that follow a cut at no boundary
+
+    def settle(start: int, a: int, b: int) -> float:
+        """Least cost from a start, all starts behind it being settled."""
+        chain = []
+        while n - start > limit and a == b and start not in cost:
+            chain.append(start)
+            chosen[start] = start + limit
+            start += limit - overlap
+            a, b = np.searchsorted(ends, start + least), np.searchsorted(ends, start + limit, side="right")
+        if start in cost:
+            value = cost[start]
+        elif n - start <= limit:
+            chosen[start], value = n, last(start)
+        else:
+            part = slice(a, b)
+            values = options(start + limit, part) + discount * after[part]
+            best = len(values) - 1 - int(values[::-1].argmin())  # of equals the latest
+            chosen[start], value = int(ends[a + best]), float(values[best])
+        for s in reversed(chain):
+            value = NOWHERE * (limit + 1 if ordered else 1) + discount * value
+            cost[s] = value
+        return value
+
+    for j in range(len(ends) - 1, -1, -1):
+        if starts[j] > 0:
+            after[j] = settle(int(starts[j]), low[j], high[j])
+    settle(0, np.searchsorted(ends, least), np.searchsorted(ends, limit, side="right"))
+    pieces, start = [], 0
     while True:
-        pieces.append((start, end))
-        before = best[start][1]
-        if before is None:
-            return pieces[::-1]
-        start, end = before, came[start]
+        pieces.append((start, chosen[start]))
+        if chosen[start] == n:
+            return pieces
+        start = chosen[start] - overlap
 
 
 def split_oversized(
@@ -106,16 +103,17 @@ def split_oversized(
     """Pieces of every text longer than `limit`: the key columns, piece_no, start_pos and end_pos.
 
     Null, empty and short texts give no rows. Repeated rows give repeated pieces. Columns other than
-    the keys and the text are ignored. A text without any boundary is cut at `limit`. Positions count
+    the keys and the text are ignored. A text without any boundary in reach is cut at `limit`. Positions count
     code points from 0. Narrow: no shuffle, and one text at a time in memory.
     """
     if not overlap < least <= limit:
         raise ValueError("overlap < least <= limit must hold")
-    plan = {"ordered": plan_ordered, "total": plan_total}[objective]
+    if objective not in ("ordered", "total"):
+        raise ValueError("objective must be ordered or total")
 
     @F.pandas_udf("array<struct<piece_no:int,start_pos:int,end_pos:int>>")
     def pieces(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [(i, s, e) for i, (s, e) in enumerate(plan(t, limit, overlap, least), 1)])
+        return texts.map(lambda t: [(i, s, e) for i, (s, e) in enumerate(best_plan(t, limit, overlap, least, objective), 1)])
 
     return (
         df.select(*keys, F.col(text).alias("_text"))
@@ -125,17 +123,19 @@ def split_oversized(
     )
 
 
-def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+def sources(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "extracted_docs").select(F.lit("extracted_docs").alias("src"), F.col("ext_id").alias("item_id"), "text")
     chunks = table(spark, folder, "chunks").select(F.lit("chunks").alias("src"), F.col("id").alias("item_id"), "text")
-    return split_oversized(docs.unionByName(chunks), ["src", "item_id"])
+    return docs.unionByName(chunks)
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return split_oversized(sources(spark, folder), ["src", "item_id"])
 
 
 def p1_balanced(spark: SparkSession, folder: str) -> DataFrame:
     """The same texts under the total objective: fewer bad cuts and more even pieces."""
-    docs = table(spark, folder, "extracted_docs").select(F.lit("extracted_docs").alias("src"), F.col("ext_id").alias("item_id"), "text")
-    chunks = table(spark, folder, "chunks").select(F.lit("chunks").alias("src"), F.col("id").alias("item_id"), "text")
-    return split_oversized(docs.unionByName(chunks), ["src", "item_id"], objective="total")
+    return split_oversized(sources(spark, folder), ["src", "item_id"], objective="total")
 
 
 # w holds the 600 characters after which a piece may end, and the one that follows them.
