@@ -23,6 +23,30 @@ def test_tokens_rebuild_and_agree():
     assert [lookalike.classes(x) for x in a] == [lookalike.classes(x) for x in b]
 
 
+def test_automaton_walks_raw_tokens():
+    trie = lookalike.Trie()
+    for w, n in [("ガラス", 3), ("カラス", 9), ("café", 2), ("口座", 5), ("AB", 1), ("キロ", 1)]:
+        trie.add(w, n)
+    free = {"ｶﾞﾗｽ": "ガラス", "力ラス": "カラス", "cafe\u0301": "café", "c\u0430f\u200be\u0301": "café", "ロ座": "口座", "ＡВ": "AB", "\u3314": "キロ"}
+    assert {t: trie.walk(t) for t in free} == free
+    assert trie.walk("cafe") is None and trie.walk("ガ") is None and trie.walk("") is None
+    # edits that a reader sees cost something and lead somewhere only under a higher bound
+    assert trie.walk("cafe", 1.0) == "café" and trie.walk("カラ", 1.0) == "カラス" and trie.walk("カラスx", 1.0) == "カラス" and trie.walk("ムラス", 1.0) == "カラス"
+
+
+def test_tokens_beyond_the_basic_plane():
+    t = "ｶﾞa\U00020000\u0301が"
+    assert lookalike.tokens(t) == ["ｶﾞ", "a", "\U00020000\u0301", "が"]
+    assert lookalike.tokens("\u200bab") == ["\u200b", "ab"]
+
+
+def test_classes_count_links(spark):
+    d = spark.createDataFrame([(1, "データ"), (2, "ﾃﾞｰﾀ"), (3, "デー夕"), (4, "データ"), (5, "x"), (6, None)], "id long, t string")
+    got = {r.id: (r.class_id, r.variants, r.links) for r in lookalike.classes_of(d, "id", "t").collect()}
+    assert got == {1: (1, 3, 2), 4: (1, 3, 2), 2: (1, 3, 3), 3: (1, 3, 3)}
+    assert lookalike.classes_of(d.limit(0), "id", "t").count() == 0
+
+
 def test_look_alikes(spark):
     d = spark.createDataFrame([(1, "データの確認", "k"), (2, "ﾃﾞｰ​ﾀの確認", "k"), (3, "デー夕の確認", "k"), (4, "データの確認", "k"), (5, "テータの確認", "k"), (6, None, None), (7, "", None), (8, "長" * 30000, None)], "id long, t string, canonical string")
     got = sorted((r.key_a, r.key_b) for r in lookalike.look_alikes(d, "id", "t").collect())

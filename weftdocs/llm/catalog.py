@@ -10,6 +10,7 @@ QUERIES = {
     "p2_found": answers.p2_found,
     "p3_found": neighbours.p3_found,
     "p4_found": lookalike.p4_found,
+    "p4_classes": lookalike.p4_classes,
     "p4_unified": lookalike.p4_unified,
     "p5_found": scanned.p5_found,
     "p5_repaired": scanned.p5_repaired,

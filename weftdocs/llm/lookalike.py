@@ -4,10 +4,13 @@
    other characters. Ignorable characters never cut a token, and the kind of a letter is the kind of
    its look-alike class, so that texts which look the same are cut at the same places.
 2. `spellings` counts the distinct spellings in the corpus. They are spread over shards by their class
-   string, which look-alikes share.
-3. In each shard a trie holds the vocabulary, the plain spellings. An edit automaton walks it with each
-   other spelling; look-alikes and ignorables cost nothing, and everything else ends the walk. Of the
-   words reached, the most frequent one is the canonical spelling.
+   string, which spellings at cost zero from each other share; nothing else can reach a word for free.
+3. In each shard a trie holds the vocabulary, the plain spellings, letter by letter with marks set
+   apart. A weighted edit automaton reads each other spelling as it stands and keeps the nodes it may
+   be in, with their costs: dropping an ignorable character is free, and so is reading a letter, or the
+   letters a compatibility character stands for, as a look-alike; every other replacement, deletion or
+   insertion costs `EDIT`. States over `BOUND` are dropped. Of the words reached at the least cost, the
+   most frequent one is the canonical spelling.
 4. A spelling that reaches no word is normalised by table.
 5. `unify` puts the canonical spellings back into the texts; texts that look the same are then equal.
 """
@@ -87,22 +90,31 @@ def kind(ch: str) -> str:
     return "d" if c.isdigit() else ""
 
 
+@lru_cache(1)
+def token_pattern() -> re.Pattern:
+    """The tokens of a text of the Basic Multilingual Plane, from the kinds of its characters."""
+    of: dict[str, list[str]] = {}
+    for c in range(0x10000):
+        if not 0xD800 <= c < 0xE000:
+            of.setdefault(kind(chr(c)), []).append(chr(c))
+    chars = {k: "".join(re.escape(ch) for ch in members) for k, members in of.items()}
+    goes_on = chars["+"]
+    runs = [f"[{chars[k]}][{chars[k]}{goes_on}]*" for k in sorted(of) if k not in ("", "+")]
+    return re.compile("|".join([f"[{goes_on}]+", *runs, f".[{goes_on}]*"]), re.S)
+
+
 def tokens(text: str) -> list[str]:
+    if not text or max(text) <= "\uffff":
+        return token_pattern().findall(text)
     out: list[str] = []
-    last = None
+    last = None  # kind of the open token; None after the marks a text may begin with
     for ch in text:
         k = kind(ch)
         if out and (k == "+" or (k and k == last)):
             out[-1] += ch
-            last = last if k == "+" else k
         else:
             out.append(ch)
             last = None if k == "+" else k
-            if k == "+":
-                last = "+"
-            continue
-        if last == "+":
-            last = k
     return out
 
 
@@ -114,11 +126,6 @@ def is_plain(token: str) -> bool:
     return plain(token) == token
 
 
-def tokenised(texts: pd.Series):
-    for t in texts:
-        yield tokens(t) if TOUCHY.search(t) else None
-
-
 def spellings(df: DataFrame, text: str) -> DataFrame:
     """(spelling, class, plain, n): distinct spellings, with n texts each."""
 
@@ -143,27 +150,68 @@ def spellings(df: DataFrame, text: str) -> DataFrame:
     return found.groupBy("spelling", "class", "plain").agg(F.sum("n").alias("n"))
 
 
+EDIT, BOUND = 1.0, 0.0  # cost of an edit a reader would see; the dearest word that may be chosen
+
+
+@lru_cache(1 << 16)
+def letters(ch: str) -> str:
+    """The letters one character stands for, marks set apart."""
+    return unicodedata.normalize("NFD", {"゛": "゙", "゜": "゚"}.get(ch, form(ch)))
+
+
+def look(letter: str) -> str:
+    """What letters of the same look share."""
+    return TWINS.get(letter, letter)
+
+
 class Trie:
-    """Vocabulary by class letter, so that one step of the automaton is one look-up for each state."""
+    """Vocabulary by letter. A node maps the look of a letter to the letters that go on, and each to its node."""
 
     def __init__(self):
         self.root: dict = {}
 
     def add(self, word: str, n: int) -> None:
         node = self.root
-        for ch in word:
-            node = node.setdefault(TWINS.get(ch, ch), {}).setdefault(ch, {})
+        for x in unicodedata.normalize("NFD", word):
+            node = node.setdefault(look(x), {}).setdefault(x, {})
         node["word"] = (n, word)
 
-    def walk(self, token: str) -> str | None:
-        """The most frequent word at cost zero; of equals, the first in code point order."""
-        states = [self.root]
-        for c in classes(token):
-            states = [after for s in states for after in s.get(c, {}).values()]
-            if not states:
-                return None
-        ends = [s["word"] for s in states if "word" in s]
-        return min(ends, key=lambda e: (-e[0], e[1]))[1] if ends else None
+    @staticmethod
+    def after(node: dict) -> Iterator[tuple[str, dict]]:
+        return ((x, child) for c, same in node.items() if c != "word" for x, child in same.items())
+
+    def walk(self, token: str, bound: float = BOUND) -> str | None:
+        """The most frequent of the words at least cost, up to `bound`; of equals, the first in code point order."""
+        states: dict[int, tuple[float, dict]] = {id(self.root): (0.0, self.root)}  # node -> cost
+
+        def reach(into: dict, node: dict, cost: float) -> None:
+            if cost <= bound and cost < into.get(id(node), (bound + 1, None))[0]:
+                into[id(node)] = (cost, node)
+                if cost + EDIT <= bound:
+                    for _, child in self.after(node):  # a letter of the word left out of the token
+                        reach(into, child, cost + EDIT)
+
+        if bound >= EDIT:
+            start: dict = {}
+            reach(start, self.root, 0.0)
+            states = start
+        for ch in token:
+            if ignorable(ch):
+                continue  # dropped at no cost
+            for x in letters(ch):
+                held: dict[int, tuple[float, dict]] = {}
+                for cost, node in states.values():
+                    for child in node.get(look(x), {}).values():
+                        reach(held, child, cost)  # the same letter or a look-alike
+                    if cost + EDIT <= bound:
+                        reach(held, node, cost + EDIT)  # a letter of the token left out
+                        for _, child in self.after(node):
+                            reach(held, child, cost + EDIT)  # another letter
+                states = held
+                if not states:
+                    return None
+        ends = [(cost, -node["word"][0], node["word"][1]) for cost, node in states.values() if "word" in node]
+        return min(ends)[2] if ends else None
 
 
 def canonical(vocab: DataFrame, shards: int) -> DataFrame:
@@ -179,8 +227,8 @@ def canonical(vocab: DataFrame, shards: int) -> DataFrame:
 
     # only classes with several spellings, or with one that is not plain, need a walk
     several = vocab.groupBy("class").agg(F.count("*").alias("k"), F.bool_and("plain").alias("all_plain")).filter("k > 1 OR NOT all_plain").select("class")
-    spread = vocab.join(several, "class", "left_semi").withColumn("shard", F.pmod(F.xxhash64("class"), F.lit(shards)))
-    return spread.groupBy("shard").applyInPandas(match, "spelling string, canonical string")
+    placed = vocab.join(several, "class", "left_semi").withColumn("shard", F.pmod(F.xxhash64("class"), F.lit(shards)))
+    return placed.groupBy("shard").applyInPandas(match, "spelling string, canonical string")
 
 
 def unify(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -213,13 +261,31 @@ def unify(df: DataFrame, key: str, text: str) -> DataFrame:
     return base.join(maps, "_key", "left").select(F.col("_key").alias(key), F.col("_text").alias(text), put("_text", "_map").alias("canonical"))
 
 
+def hashed(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(k, form, variant): each row with the hashes of its consistent form and of its text; rows without text are left out."""
+    return unify(df, key, text).filter(F.length("canonical") > 0).select(F.col(key).alias("k"), F.md5("canonical").alias("form"), F.md5(text).alias("variant"))
+
+
+def classes_of(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, class_id, variants, links): one row per row whose text has look-alikes, at any size of a class.
+
+    class_id is the least key of the class, variants the number of different texts in it, links the number
+    of rows whose text looks the same but is a different string. No pairs are made.
+    """
+    rows = cut(hashed(df, key, text))
+    variants = rows.groupBy("form", "variant").agg(F.count("*").alias("copies"), F.min("k").alias("first"))
+    several = variants.groupBy("form").agg(F.count("*").alias("variants"), F.sum("copies").alias("rows"), F.min("first").alias("class_id")).filter("variants > 1")
+    sizes = variants.join(several, "form").select("variant", "form", "class_id", "variants", (F.col("rows") - F.col("copies")).alias("links"))
+    return rows.join(sizes, ["form", "variant"]).select(F.col("k").alias(key), "class_id", "variants", "links")
+
+
 def look_alikes(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key_a, key_b): rows with different texts of the same consistent form, key_a < key_b.
 
     Exact copies are no pairs. Variants are paired first, once per pair of different texts, and then
     widened to their rows, so that a much repeated text is never compared with its own copies.
     """
-    rows = cut(unify(df, key, text).filter(F.length("canonical") > 0).select(F.col(key).alias("k"), F.md5("canonical").alias("form"), F.md5(text).alias("variant")))
+    rows = cut(hashed(df, key, text))
     variants = rows.select("form", "variant").distinct()
     several = variants.groupBy("form").agg(F.count("*").alias("n")).filter("n > 1").select("form")
     some = variants.join(several, "form")
@@ -236,6 +302,13 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return docs.unionByName(asked)
 
 
+def p4_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows with look-alikes: class, different texts in it, and links; the scalable form of p4_found."""
+    docs = classes_of(spread(table(spark, folder, "extracted_docs")), "ext_id", "text").withColumnRenamed("ext_id", "key")
+    asked = classes_of(spread(table(spark, folder, "gold_100_review")), "review_id", "question").withColumnRenamed("review_id", "key")
+    return docs.withColumn("src", F.lit("extracted_docs")).unionByName(asked.withColumn("src", F.lit("gold_100_review")))
+
+
 def p4_unified(spark: SparkSession, folder: str) -> DataFrame:
     """Rows whose text changes, with their consistent form."""
     docs = unify(spread(table(spark, folder, "extracted_docs")), "ext_id", "text").select(F.lit("extracted_docs").alias("src"), F.col("ext_id").alias("key"), "canonical", F.col("text").alias("was"))
