@@ -1,5 +1,8 @@
 """Look-alikes, scanned pages, leaks and wrong encodings."""
 
+import random
+import re
+
 import numpy as np
 import pytest
 
@@ -62,12 +65,55 @@ PAGE = "\n".join(
 )
 
 
+SOUND = [
+    "The sensor feed is refreshed four times a week and is matched to the column guide through the agreed key. The test environment keeps ten generations of the feed and of the report.",
+    "The client ledger is refreshed two times a week and is matched to the report and all other tables of the shared drive. A hand-over is planned for the coming week.\nid | item | days\n1 | feed | 3\n2 | ledger | 5",
+    "Costs are capped at the agreed amount and any excess needs a separate note. Requests are processed within ten working days after the client approves them.\n\n- 4. recall\n12",
+    "short note",
+    "To-do: feed - OK\nNo.5 is open",
+]
+
+
+def layout_of(texts):
+    """The layout models, trained on the driver as a task trains them."""
+    wholes, lines = [], []
+    for t in texts:
+        rng = random.Random(t)
+        wholes += [(scanned.page(t).whole, -1)] * scanned.LAYOUTS
+        lines += [(f, -1) for f in scanned.page(t).facts.values()]
+        for _ in range(scanned.LAYOUTS):
+            made = scanned.laid_out(t, rng)
+            if made:
+                p = scanned.page(made[0])
+                wholes.append((p.whole, 1))
+                lines += [(f, 1 if i in made[1] else -1) for i, f in p.facts.items()]
+    return {k: scanned.Perceptron().fit(v, random.Random(7)).averaged() for k, v in (("page", wholes), ("line", lines))}
+
+
+def test_laid_out_pages_say_what_was_put_in():
+    for k in range(40):
+        made = scanned.laid_out(SOUND[0], random.Random(k))
+        lines = made[0].split("\n")
+        body = re.sub(r"[^a-z]", "", "".join(x for i, x in enumerate(lines) if i not in made[1] and not scanned.MARK.fullmatch(x)).lower())
+        assert all(0 <= i < len(lines) and lines[i].strip() for i in made[1]) and body.startswith(re.sub(r"[^a-z]", "", SOUND[0].lower())[:100])
+    assert scanned.laid_out("short note", random.Random(1)) is None and scanned.laid_out("", random.Random(1)) is None
+
+
 def test_page_furniture():
+    weights = layout_of([f"{a} {b}" for a in SOUND for b in SOUND] + SOUND * 5)
     p = scanned.page(PAGE)
-    assert [i + 1 for i, r in enumerate(p.running) if r] == [1, 5, 7, 17]
-    assert p.mark[5] and scanned.is_scanned(PAGE)
-    assert not scanned.is_scanned("") and not scanned.is_scanned("one line") and not scanned.is_scanned("a | b\nc | d\n" * 9)
-    assert scanned.page("").lines == [""]
+    assert scanned.score(p.whole, weights["page"]) > 0 and p.mark[5]
+    assert {1, 5, 7, 17} >= {i + 1 for i, r in enumerate(p.settled(weights["line"]).running) if r} >= {1, 7}
+    for t in ("", "one line", "a | b\nc | d\n" * 9):
+        assert scanned.score(scanned.page(t).whole, weights["page"]) <= 0
+    assert scanned.page("").lines == [""] and not scanned.page("").facts
+
+
+def test_repeats_are_found_without_comparing_all():
+    names = ["header of the report", "minutes of the meeting", "list of all columns"]
+    shapes = [(i, names[i % 3]) for i in range(0, 3000, 10)] + [(5, "headcr of the report"), (7, "ab"), (9, "ab")]
+    groups = [g for g in scanned.repeats(shapes) if len(g) > 1]
+    assert [7, 9] in groups and any(5 in g and len(g) > 90 for g in groups)
 
 
 @pytest.mark.parametrize("line,value", [("— 3 —", 3), ("Page 2 of 9", 2), ("[4]", 4), ("iv", 4), ("3/8", 3), ("ページ 5", 5), ("6 頁", 6), ("p. 7", 7)])
@@ -207,6 +253,32 @@ def test_misread_characters_do_not_depend_on_the_partitions(spark):
     line = "この資料の学習計画はまだ誰にも公開されていないものです"
     pages = [(1000 + i, "pdf", "\n".join([line[k:] + line[:k] for k in range(0, 12, 3)] + ["毎日の学習計画を全員で確認する。" if i % 8 else "毎日の学習汁画を全員で確認する。"])) for i in range(40)]
     d = spark.createDataFrame([*clean, *pages], "id long, kind string, text string")
-    counts = scanned.sketch(d, "text")
-    few, many = (scanned.confusions(d.filter("kind = 'pdf'").repartition(n), "text", counts) for n in (1, 40))
+    counts = scanned.counted(d, "text")
+    laid = d.filter("kind = 'pdf'").selectExpr("0L AS block", "id AS _key", "text AS _text", "array(0) AS running")
+    few, many = (scanned.confusions(laid.repartition(n), counts) for n in (1, 40))
     assert "計" in few.get("汁", []) and few == many
+
+
+def test_counts_are_exact(spark):
+    texts = ["Data feed, data\r\n計画を計画", "計画\nfeed 12", "", None, "計画を計画"]
+    d = spark.createDataFrame([(t,) for t in texts], "text string")
+    rows = scanned.counted(d.repartition(3), "text").collect()
+    words = {r.word: r.n for r in rows if r.word}
+    assert words == {"data": 2, "feed": 2, "00": 1}
+    held = {(r.context, r.centre): r.n for r in rows if not r.word}
+    assert held[scanned.window("\n計画を計")] == 2 and held[scanned.window("\n\n計画\n")] == 1 and held[scanned.window("\n計画")] == 3 and held[scanned.window("計画\n")] == 3
+    assert scanned.counted(d.limit(0), "text").count() == 0
+
+
+def test_repair_does_not_depend_on_batches(spark):
+    words = "the sensor feed keeps ten generations of every report and the client ledger holds the figures".split()
+    clean = [(i, "txt", " ".join(words[(i + k) % len(words)] for k in range(14)) + ".\n a hand-over note for the client") for i in range(120)]
+    noisy = [(1000 + i, "pdf", PAGE.replace("generations", "gcnerations").replace("report and", "rcport and").replace("keeps ten copies", "kceps ten copies")) for i in range(9)]
+    d = spark.createDataFrame([*clean, *noisy], "id long, kind string, text string")
+    got = []
+    for batch, parts in ((2, 7), (10000, 1)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+        some = d.repartition(parts)
+        got.append(sorted((r.id, r.repaired, str(r.noise)) for r in scanned.repair(some, "id", "text", some.filter("kind = 'pdf'")).collect()))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got[0] == got[1] and len(got[0]) == 9
