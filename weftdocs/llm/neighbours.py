@@ -1,16 +1,19 @@
 """Problem 3: for every vector, the most similar vectors of the collection.
 
-1. Directions are spread over cells. A vector is indexed in the cells of its OVERLAP nearest centres;
-   centres come from spherical k-means on a bounded sample (SAMPLE vectors), and their number follows
-   the size of the collection, so that a cell holds about CELL vectors. A larger cell is split into
-   shards by hash, and its queries visit all of them.
-2. In each shard a robust-pruned directed graph is built. Vectors are inserted in rounds; a greedy beam
+1. Directions are spread over cells by a tree of centres. Of the root's centres, from spherical k-means on
+   a bounded sample, a vector belongs to the OVERLAP nearest ones. A cell that turns out too large, however
+   crowded its place is, gets finer centres from a bounded sample of its own vectors, and its vectors go to
+   the SPLIT nearest of those; and so on, LEVELS deep. k-means runs in tasks, one group for each cell. The
+   tree is as large as the number of cells, about one centre for each CELL / OVERLAP vectors.
+2. In each cell a robust-pruned directed graph is built. Vectors are inserted in rounds; a greedy beam
    search over the graph so far proposes neighbours, and relaxed pruning keeps those that no kept
    neighbour is RELAX times closer to. Edges back are added and pruned alike.
-3. A beam search answers each vector's own query in each shard of its cells. The similarities of what
-   it returns are exact, and the answers of all shards are merged.
+3. A beam search answers each vector's own query in each of its cells. The similarities of what
+   it returns are exact, and the answers of all cells are merged.
 
-Exact copies of a vector would crowd one place of the graph; they are searched once and joined again.
+A cell that no finer centres can part is a shard by hash; its vectors ask all shards, in bounded blocks of
+queries. Vectors of different lengths have trees of their own. Copies of a vector, scaled ones too, would
+crowd one place of the graph; they are searched once and joined again.
 """
 
 from __future__ import annotations
@@ -25,8 +28,10 @@ from pyspark.sql import functions as F
 
 from weftdocs.session import cut, table
 
-SAMPLE, ROUNDS = 20_000, 6  # vectors and rounds of k-means
-CELL, OVERLAP = 4_000, 4  # vectors of a cell; cells of a vector
+SAMPLE, ROUNDS = 20_000, 6  # vectors of one k-means, and its rounds
+CELL, OVERLAP, SPLIT = 4_000, 4, 2  # vectors of a cell; cells of a vector; finer cells of a vector, for each of its cells
+FANOUT, LEVELS = 1_000, 4  # centres of a node; depth of the tree
+CHUNK = 1_024  # vectors compared with centres at a time, for memory only
 DEGREE, BEAM, RELAX, FIRST = 24, 40, 1.2, 256  # edges of a vertex, width of the search, pruning, first round
 K, LEAST = 5, 0.85
 
@@ -138,12 +143,22 @@ class Graph:
         return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
 
 
+def nearest(x: np.ndarray, c: np.ndarray, k: int) -> np.ndarray:
+    """The k nearest centres of each vector, a chunk at a time."""
+    k = min(k, len(c))
+    out = np.empty((len(x), k), "i4")
+    for s in range(0, len(x), CHUNK):
+        sims = x[s : s + CHUNK] @ c.T
+        out[s : s + CHUNK] = sims.argmax(1)[:, None] if k == 1 else np.argpartition(sims, len(c) - k, axis=1)[:, len(c) - k :]
+    return out
+
+
 def centres(x: np.ndarray, k: int) -> np.ndarray:
     """Spherical k-means on a bounded sample."""
     rng = np.random.default_rng(11)
     c = x[rng.choice(len(x), min(k, len(x)), replace=False)]
     for _ in range(ROUNDS):
-        own = (x @ c.T).argmax(1)
+        own = nearest(x, c, 1)[:, 0]
         sums = np.zeros_like(c)
         np.add.at(sums, own, x)
         norm = np.linalg.norm(sums, axis=1, keepdims=True)
@@ -151,6 +166,93 @@ def centres(x: np.ndarray, k: int) -> np.ndarray:
     return c.astype("f4")
 
 
+Tree = dict[int, tuple[int, np.ndarray]]  # node -> (number of its first child, centres of its children)
+
+
+def leaves(x: np.ndarray, root: int, tree: Tree, overlap: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, leaf) of vectors of one length. Node numbers below zero are roots."""
+    rows, nodes = np.arange(len(x)), np.full(len(x), root, "i8")
+    done: list[tuple[np.ndarray, np.ndarray]] = []
+    while len(rows):
+        order = np.argsort(nodes, kind="stable")
+        rows, nodes = rows[order], nodes[order]
+        next_rows, next_nodes = [], []
+        for part in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(nodes)) + 1):
+            node = int(nodes[part[0]])
+            if node not in tree:
+                done.append((rows[part], nodes[part]))
+                continue
+            first, c = tree[node]
+            near = nearest(x[rows[part]], c, overlap if node < 0 else SPLIT)
+            next_rows.append(np.repeat(rows[part], near.shape[1]))
+            next_nodes.append(first + near.ravel().astype("i8"))
+        if not next_rows:
+            break
+        rows, nodes = np.concatenate(next_rows), np.concatenate(next_nodes)
+    return np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done])
+
+
+def placed(vertices: DataFrame, tree: Tree, overlap: int, vectors: bool) -> DataFrame:
+    """(node, id, v) of each vector and each of its leaves; or just (node), to be counted."""
+    shared = vertices.sparkSession.sparkContext.broadcast(tree)
+    kind = vertices.schema["id"].dataType.simpleString()
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for size, part in batch.groupby(batch["v"].map(len)):
+                x = np.stack(part["v"].to_numpy()).astype("f4")
+                rows, nodes = leaves(x, -int(size), shared.value, overlap)
+                out = pd.DataFrame({"node": nodes})
+                if vectors:
+                    out["id"], out["v"] = part["id"].to_numpy()[rows], part["v"].to_numpy()[rows]
+                yield out
+
+    return vertices.mapInPandas(place, f"node long, id {kind}, v array<float>" if vectors else "node long")
+
+
+def fitted(wanted: dict[int, int]):
+    """For applyInPandas: the centres of one node, from its sample."""
+
+    def fit(part: pd.DataFrame) -> pd.DataFrame:
+        node = int(part["node"].iloc[0])
+        part = part.sort_values("id")  # the same centres however the rows arrive
+        return pd.DataFrame({"node": node, "c": list(centres(np.stack(part["v"].to_numpy()).astype("f4"), wanted[node]))})
+
+    return fit
+
+
+def grown(vertices: DataFrame, cell: int, overlap: int) -> tuple[Tree, dict[int, int]]:
+    """The tree of centres, and the leaves that are still too large, with the number of their vectors."""
+    tree: Tree = {}
+    children = 0
+    large: dict[int, int] = {}
+    for level in range(LEVELS):
+        if level:
+            counts = placed(vertices, tree, overlap, False).groupBy("node").count().filter(F.col("count") > 2 * cell).collect()  # of large leaves only
+        else:
+            counts = vertices.groupBy((-F.size("v")).cast("long").alias("node")).count().collect()  # one root for each length
+        wanted = {r["node"]: math.ceil(r["count"] * (overlap if r["node"] < 0 else SPLIT) / cell) for r in counts}
+        wanted = {n: min(FANOUT, k) for n, k in wanted.items() if k > (overlap if n < 0 else 1)}  # else one cell holds them all
+        large = {r["node"]: r["count"] for r in counts if r["node"] in wanted and level}
+        if not wanted:
+            break
+        share = {r["node"]: min(1.0, SAMPLE / r["count"]) for r in counts if r["node"] in wanted}
+        rows = placed(vertices, tree, overlap, True).filter(F.col("node").isin(*wanted))
+        chance = F.element_at(F.create_map(*[F.lit(v) for kv in share.items() for v in kv]), F.col("node"))
+        sample = rows.filter(F.pmod(F.xxhash64("id", "node"), F.lit(1 << 30)) < chance * (1 << 30)).select("node", "id", "v")
+
+        found: dict[int, list] = {}
+        for r in sample.groupBy("node").applyInPandas(fitted(wanted), "node long, c array<float>").collect():  # as large as the tree
+            found.setdefault(r["node"], []).append(r["c"])
+        for node in sorted(found):
+            tree[node] = (children, np.array(found[node], "f4"))
+            children += len(found[node])
+    else:
+        counts = placed(vertices, tree, overlap, False).groupBy("node").count().filter(F.col("count") > 2 * cell).collect()
+        large = {r["node"]: r["count"] for r in counts}
+    return tree, {n: k for n, k in large.items() if n not in tree}
+
+
 def unit(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     """(id, copy, v): vectors that have a direction, scaled to length one; copy names the exact vector."""
     v = F.col(vector).cast("array<double>")
@@ -159,62 +261,54 @@ def unit(vectors: DataFrame, key: str, vector: str) -> DataFrame:
         vectors.select(F.col(key).alias("id"), v.alias("raw"), square.alias("sq"))
         .filter(F.col("sq").isNotNull() & ~F.isnan("sq") & (F.col("sq") > 0) & (F.col("sq") < float("inf")))
         .withColumn("v", F.transform("raw", lambda x: (x / F.sqrt("sq")).cast("float")))
-        .select("id", F.xxhash64("raw").alias("h1"), F.hash("raw").alias("h2"), "v")
+        .withColumn("shape", F.transform("v", lambda x: F.round(x * 1e6).cast("int")))  # the same for scaled copies
+        .select("id", F.xxhash64("shape").alias("h1"), F.hash("shape").alias("h2"), "v")
     )
 
 
 def top_pairs(df: DataFrame, key: str, vector: str, k: int = K, least: float = LEAST, cell: int = CELL, overlap: int = OVERLAP) -> DataFrame:
     """(id_a, id_b), id_a < id_b: pairs of which one is among the k most similar to the other, from `least` on.
 
-    Vectors that are null, empty, all zero, of another length than most, or that hold null, NaN or
-    infinite values have no neighbours. Of equally similar vectors those with smaller ids come first. Copies of one
-    vector are neighbours of similarity one. Rows must have unique keys; other columns are ignored.
+    Vectors that are null, empty, all zero, or that hold null, NaN or infinite values have no neighbours, and
+    vectors of different lengths are no neighbours of each other. Of equally similar vectors those with
+    smaller ids come first. Copies of one vector are neighbours of similarity one. Rows must have unique keys;
+    other columns are ignored. An empty table gives no rows.
     """
-    usual = df.groupBy(F.size(vector).alias("_size")).agg(F.count("*").alias("_n")).filter("_size > 0").orderBy(F.desc("_n"), "_size").limit(1)
-    size = [r["_size"] for r in usual.collect()]
-    rows = cut(unit(df.filter(F.size(vector) == (size[0] if size else 0)), key, vector))
-    n = rows.count()
-    if n < 2:
-        return rows.select(F.col("id").alias("id_a"), F.col("id").alias("id_b")).limit(0)
-    vertices = rows.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.min_by("v", "id").alias("v"))
-    vertices = cut(vertices.select("id", "v"))
-    distinct = vertices.count()
-    picked = vertices.orderBy(F.xxhash64("id")).limit(SAMPLE).select("v").toPandas()["v"]
-    cells = max(1, math.ceil(distinct * overlap / cell))
-    if cells <= overlap:
-        cells = 1
-    c = df.sparkSession.sparkContext.broadcast(centres(np.stack(picked.to_numpy()).astype("f4"), cells))
+    rows = cut(unit(df, key, vector))
     kind = rows.schema["id"].dataType.simpleString()
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                x = np.stack(batch["v"].to_numpy()).astype("f4")
-                near = np.argsort(-(x @ c.value.T), axis=1)[:, :overlap]
-                yield pd.DataFrame({"id": np.repeat(batch["id"].to_numpy(), near.shape[1]), "v": np.repeat(batch["v"].to_numpy(), near.shape[1]), "cell": near.ravel().astype("i4")})
-
-    placed = vertices.mapInPandas(place, f"id {kind}, v array<float>, cell int")
-    sizes = cut(placed.groupBy("cell").agg(F.ceil(F.count("*") / (2 * cell)).cast("int").alias("shards")))  # one row for each cell
-    spread = placed.join(F.broadcast(sizes), "cell").withColumn("own", F.pmod(F.xxhash64("id"), "shards").cast("int"))
-    visits = spread.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).select("cell", "shard", "id", "v", (F.col("own") == F.col("shard")).alias("indexed"))
+    vertices = cut(rows.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.min_by("v", "id").alias("v")).select("id", "v"))
+    tree, large = grown(vertices, cell, overlap)
+    spread = placed(vertices, tree, overlap, True)
+    # leaves that centres could not part: shards by hash, each asked by all of the leaf, a block of queries at a time
+    shards = df.sparkSession.createDataFrame([(n, math.ceil(c / (2 * cell))) for n, c in large.items()] or [(None, 1)], "node long, shards int")
+    spread = spread.join(F.broadcast(shards), "node", "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
+    own = F.pmod(F.xxhash64("id"), "shards").cast("int")
+    every = F.sequence(F.lit(0), F.col("shards") - 1)
+    # (shard, block): a vector is indexed in its own shard for all blocks of queries, and asks, in its own block, all shards
+    roles = F.transform(every, lambda b: F.struct(own.alias("shard"), b.alias("block"), F.lit(True).alias("indexed"), (b == own).alias("asks")))
+    asked = F.transform(F.filter(every, lambda s: s != own), lambda s: F.struct(s.alias("shard"), own.alias("block"), F.lit(False).alias("indexed"), F.lit(True).alias("asks")))
+    visits = spread.withColumn("r", F.explode(F.concat(roles, asked))).select("node", "id", "v", "r.*")
 
     def ask(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("id")
         x = np.stack(part["v"].to_numpy()).astype("f4")
-        indexed = np.flatnonzero(part["indexed"].to_numpy())
+        indexed, asks = np.flatnonzero(part["indexed"].to_numpy()), np.flatnonzero(part["asks"].to_numpy())
+        if not len(indexed):
+            return pd.DataFrame({"id": [], "other": [], "sim": []})
         graph = Graph(x[indexed])
-        own, out = part["id"].to_numpy(), []
-        names = own[indexed]
-        for s in range(0, len(x), 512):
-            found, sims = graph.search(x[s : s + 512], graph.beam)
+        own_, out = part["id"].to_numpy(), []
+        names = own_[indexed]
+        for s in range(0, len(asks), 512):
+            at = asks[s : s + 512]
+            found, sims = graph.search(x[at], graph.beam)
             a, b = np.nonzero((found >= 0) & (sims >= least - 1e-3))
-            q, r = own[s + a], names[found[a, b]]
-            exact = np.einsum("nd,nd->n", x[s + a].astype("f8"), x[indexed[found[a, b]]].astype("f8"))
+            q, r = own_[at[a]], names[found[a, b]]
+            exact = np.einsum("nd,nd->n", x[at[a]].astype("f8"), x[indexed[found[a, b]]].astype("f8"))
             good = (q != r) & (exact >= least)
             out.append(pd.DataFrame({"id": q[good], "other": r[good], "sim": exact[good]}))
         return pd.concat(out) if out else pd.DataFrame({"id": [], "other": [], "sim": []})
 
-    found = visits.filter(F.col("id").isNotNull()).groupBy("cell", "shard").applyInPandas(ask, f"id {kind}, other {kind}, sim double").distinct()
+    found = visits.groupBy("node", "shard", "block").applyInPandas(ask, f"id {kind}, other {kind}, sim double").distinct()
     return merged(rows, found, k)
 
 
