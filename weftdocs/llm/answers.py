@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftdocs.llm.lookalike import classes
+from weftdocs.llm.lookalike import Table, classes
 from weftdocs.session import cut, spread, table
 
 # ---- fixed values: word lists ----
@@ -61,13 +61,20 @@ STOPS = ".。!！?？"
 LIST_JA = re.compile("[^。はがを]*、[^。はがを]*")
 
 
+INVISIBLE = Table(lambda ch: None if unicodedata.category(ch) in ("Cf", "Cc") and ch not in "\n\t" else ch)
+
+
 def clean(text: str | None) -> str:
-    text = unicodedata.normalize("NFKC", text or "")
-    return "".join(ch for ch in text if unicodedata.category(ch) not in ("Cf", "Cc") or ch in "\n\t").strip()
+    return unicodedata.normalize("NFKC", text or "").translate(INVISIBLE).strip()
 
 
 def letters(text: str) -> str:
-    return "".join(ch for ch in classes(clean(text)).lower() if ch.isalnum())
+    return re.sub(r"[\W_]+", "", classes(clean(text)).lower())
+
+
+@lru_cache(4096)
+def letters_of_question(question: str) -> str:
+    return letters(question)
 
 
 def is_empty(answer: str | None) -> bool:
@@ -134,7 +141,7 @@ LABEL = re.compile(r"^\W*(?:ご?質問|問い?|question|query|q)\s*(?:は|is)?\s
 
 
 def is_copy(question: str | None, answer: str) -> bool:
-    q, a = letters(question or ""), letters(LABEL.sub("", clean(answer)))
+    q, a = letters_of_question(question or ""), letters(LABEL.sub("", clean(answer)))
     if len(a) <= LONG_MATCH or len(q) <= LONG_MATCH or 2 * len(a) < len(q):
         return False
     left = automaton(q).uncovered(a, LONG_MATCH)
@@ -289,7 +296,7 @@ def defects(df: DataFrame, key: str, question: str, answers: list[str]) -> DataF
             elif is_other_language(q, a):
                 out.append(("other_language", None, None))
             else:
-                out.append(("truncated" if breaks_off(a) else None, masked(q, a), letters(q or "")))
+                out.append(("truncated" if breaks_off(a) else None, masked(q, a), letters_of_question(q or "")))
         return pd.DataFrame(out, columns=["defect", "masked", "asked"])
 
     judged = cut(pairs.withColumn("j", judge("question", "answer")).select(key, "answer_field", "j.*"))

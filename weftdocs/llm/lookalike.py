@@ -64,15 +64,31 @@ def form(ch: str) -> str:
     return "".join(SHAPES.get(x, x) for x in unicodedata.normalize("NFKC", ch))
 
 
+class Table(dict):
+    """For str.translate: a character's value is worked out when it is first met."""
+
+    def __init__(self, of):
+        super().__init__()
+        self.of = of
+
+    def __missing__(self, c: int) -> str | None:
+        out = self[c] = self.of(chr(c))
+        return out
+
+
+FORMS = Table(lambda ch: None if ignorable(ch) else form(ch))
+LOOKS = Table(lambda ch: TWINS.get(ch, ch))
+
+
 def plain(token: str) -> str:
     """Normalised by table."""
-    kept = "".join(form(ch) for ch in token if not ignorable(ch))
+    kept = token.translate(FORMS)
     return kept if kept.isascii() else unicodedata.normalize("NFC", kept.replace("゛", "゙").replace("゜", "゚") if re.search("[゛゜]", kept) else kept)
 
 
 def classes(token: str) -> str:
     """The class string: look-alikes have the same one."""
-    return "".join(TWINS.get(ch, ch) for ch in plain(token))
+    return plain(token).translate(LOOKS)
 
 
 @lru_cache(1 << 16)
