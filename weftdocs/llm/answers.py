@@ -36,9 +36,9 @@ INABILITY = ["できません", "できかね", "しかね", "かねます", "
 ALONE = ["開示しておりません", "ノーコメント", "こちらでは扱えません", "こちらは控えます", "お答えを控え", "回答を控え", "返答を差し控え", "no comment", "i'd rather not", "i can't help", "i cannot help", "i can't assist", "i cannot assist", "inappropriate for me to", "not something i can share", "outside what i may discuss", "guidelines keep me from", "i am not permitted", "i'm not permitted", "i must decline", "i am unable to answer", "i'm unable to"]
 FIRST_PERSON = re.compile(r"\b(?:i|i'm|i'd|me|my|we|sorry|unfortunately)\b")
 STOPWORDS = {
-    "en": "the of and to in is are was were by for with on at that this it as from be has have will which an its stays moves out up than",
-    "fr": "le la les des du de et est sont pour par dans sur au aux une un que qui ce cette ont été pas sera avant",
-    "de": "der die das und ist sind für mit im in den dem des ein eine zu von auf werden wurde wird nicht bei nach über",
+    "en": "the of and to in is are was were by for with on at that this it as from be has have had will would which who what when where while an a its their there these those they he she we you or but not no if so than then into over under about after before between out up down only also can could may must should do does did been being because until during each both all any",
+    "fr": "le la les des du de et est sont pour par dans sur au aux une un que qui ce cette ces ont été pas ne sera avant après avec sans sous plus mais ou où donc elle il ils elles nous vous leur leurs son sa ses en se être avoir",
+    "de": "der die das und ist sind für mit im in den dem des ein eine einen einem einer zu zum zur von vom auf aus an am als auch werden wurde wird war waren nicht bei nach über unter vor bis durch oder aber wenn dass sich es sie er wir noch nur hat haben kann muss",
     "es": "el la los las de del y es son para por en con una un que se al fue no",
     "it": "il lo la gli di del della e è sono per con una un che nel non alla",
     "pt": "o a os as de do da e é são para por com uma um que no na não",
