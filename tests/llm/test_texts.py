@@ -146,7 +146,7 @@ def test_alignment_against_words():
     item = "abcdefghij" * 6
     pairs = [(item, "x" * 30 + item + "y" * 30, 30, 30), (item, "x" * 30 + item[:30] + "zzzzzzzzzz" + item[40:] + "q", 30, 30), (item, item[30:], -30, -30), (item, "x" * 80, 0, 0)]
     span = leak.aligned(pairs)
-    assert [int(b - a) for a, b in span] == [60, 30, 30, 0]
+    assert [int(b - a) for a, b, _ in span] == [60, 30, 30, 0]
 
 
 def test_leaks(spark):
@@ -164,6 +164,24 @@ def test_leaks(spark):
     assert leak.find(d, "doc_id", i.limit(0), "item_id").count() == 0 and leak.find(d.limit(0), "doc_id", i, "item_id").count() == 0
 
 
+def test_short_items_and_blocks_of_items(spark, monkeypatch):
+    items = [(1, "第九号"), (2, "Ab-12 x"), (3, "契約書の写し"), (4, "x"), (5, "木林森田畑川山石火水風土" * 4)]
+    docs = [(1, "本件は第 九号である。"), (2, "ref AB12X, copy"), (3, "契約の写し"), (4, "契約書の、写しを添える"), (5, "木林森田畑川山石火水風土" * 3), (6, None)]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {(1, 1): True, (2, 2): True, (2, 4): True, (4, 3): True, (5, 5): True}
+    assert {(r.doc_id, r.item_id): r.exact for r in leak.find(d, "doc_id", i, "item_id").collect()} == want
+    monkeypatch.setattr(leak, "ITEM_CHARS", 10)
+    assert {(r.doc_id, r.item_id): r.exact for r in leak.find(d, "doc_id", i, "item_id").collect()} == want
+
+
+def test_phrases_and_proximity(spark):
+    item = "the sensor feed keeps ten generations of every report and the client ledger holds all of the figures"
+    d = spark.createDataFrame([(1, "x " + item[:70]), (2, item.replace("ten", "tan"))], "doc_id long, text string")
+    i = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r.doc_id: (r.exact, r.share) for r in leak.find(d, "doc_id", i, "item_id").collect()}
+    assert got[1][0] and not got[2][0] and got[1][1] < got[2][1] == 1.0
+
+
 @pytest.mark.parametrize("stored,read", [("utf-8", "cp1252"), ("utf-8", "latin-1"), ("utf-8", "mac_roman"), ("utf-8", "cp932"), ("euc_jp", "latin-1"), ("cp932", "cp1252")])
 def test_inverse_round_trip(stored, read):
     text = "学習データの集計"

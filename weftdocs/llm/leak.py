@@ -1,17 +1,20 @@
 """Problem 7: find corpus documents that contain passages of evaluation items.
 
-A positional inverted index restricted to the terms of the test items:
+A distributed positional inverted index. It is partitioned by document: each task indexes the documents of its
+batch, term by term and place by place, and meets the test items there, so that no posting is ever shuffled.
 
 1. Texts are brought to one form: NFKC, lower case, only letters and digits. A term is a window of 6
    characters with CJK in it, or of 12 without. `Terms` lists the terms of all items with
    their offsets.
-2. The corpus is scanned once; a text is hashed with numpy, a batch at a time. `Terms` is as large as the
-   test set and is broadcast. Every posting of a test term counts, however frequent the term is.
+2. A text is hashed with numpy, a batch at a time. The test set is broadcast in blocks of bounded size
+   (`ITEM_CHARS`), and the corpus is scanned once for each. Every posting of a test term counts, however
+   frequent the term is. Items shorter than a term are single terms of their own length.
 3. `candidates`: postings, shifted by the term's offset in the item, say where the item would start in the
    document. Every such place is a candidate; those near each other, as in altered text, are one.
 4. `hopeful`: an upper bound on what an alignment can reach, so that nothing is lost by it.
 5. `aligned`: a banded local alignment over the whole item decides, in the same task. Altered characters
-   cost `PENALTY`, so a passage ends where more than about one character in ten is altered.
+   cost `PENALTY`, so a passage ends where more than about one character in ten is altered. A passage without
+   any altered character is an exact phrase, any other one a proximity match.
 """
 
 from __future__ import annotations
@@ -33,6 +36,7 @@ GRAM = 3  # characters of a start counted by the bound
 SHARE, PENALTY = 0.5, 4.0
 BASE = np.uint64(0x9E3779B97F4A7C15)
 END = 1  # stands between texts
+ITEM_CHARS = 4_000_000  # characters of the test items that are broadcast at a time
 BATCH_ROWS, BLOCK = 256, 1 << 20  # texts hashed and uses of terms expanded at a time, for memory only
 
 
@@ -234,7 +238,7 @@ def found_in(codes: np.ndarray, terms: Terms, share: float) -> list[tuple[int, i
 
 
 def aligned(pairs: list[tuple[str | np.ndarray, str | np.ndarray, int, int]]) -> np.ndarray:
-    """For (item, document, low, high): first and last offset of the item's best passage, by banded local alignment.
+    """For (item, document, low, high): first and last offset of the item's best passage and its score, by banded local alignment.
 
     A cell holds the score and, below it, how early its passage starts, so that of equal scores the longer passage is taken.
     """
@@ -277,42 +281,83 @@ def aligned(pairs: list[tuple[str | np.ndarray, str | np.ndarray, int, int]]) ->
         best = np.where(better, now, best)
         last = np.where(better, r + 1, last)
     first = np.where(last > 0, rows - (best & (one - 1)), 0)
-    return np.stack([first, last], 1)
+    return np.stack([first, last, best >> bits], 1)
+
+
+def short_items(codes: np.ndarray, items: list[np.ndarray]) -> list[tuple[int, int]]:
+    """(document, number of the item): texts that hold an item shorter than a term, as it is."""
+    out = []
+    ends = np.flatnonzero(codes == END)
+    for size in sorted({len(x) for x in items}):
+        windows = np.lib.stride_tricks.sliding_window_view(codes, size) if len(codes) >= size else np.zeros((0, size), "u2")
+        key = np.zeros(len(windows), "u8")
+        with np.errstate(over="ignore"):
+            for k in range(size):
+                key = key * BASE + windows[:, k]
+            for i, x in enumerate(items):
+                if len(x) == size:
+                    mine = np.uint64(0)
+                    for c in x:
+                        mine = mine * BASE + np.uint64(c)
+                    at = np.flatnonzero(key == mine)
+                    at = at[(windows[at] == x).all(1)]
+                    out += [(int(d), i) for d in np.unique(np.searchsorted(ends, at))]
+    return out
+
+
+def blocks_of(held: DataFrame) -> list[tuple[int, int]]:
+    """Ranges of hashes (low, high) of items with about ITEM_CHARS characters each: one range for a test set of usual size."""
+    n = held.agg(F.coalesce(F.sum(F.length("form")), F.lit(0)).alias("n")).first()["n"]
+    parts = max(1, -(-n // ITEM_CHARS))
+    step = (1 << 30) // parts + 1
+    return [(k * step, (k + 1) * step) for k in range(parts)]
 
 
 def find(docs: DataFrame, doc: str, items: DataFrame, item: str, text: str = "text", item_text: str = "text", share: float = SHARE) -> DataFrame:
-    """(doc, item, share): documents that hold at least `share` of an item as one passage, once per pair.
+    """(doc, item, share, exact): documents that hold at least `share` of an item as one passage, once per pair.
 
     Texts that are null, empty or without letters and digits match nothing. Repeated documents and
     items are each reported under their own key; rows that repeat a key count once. Other columns are
-    ignored. Without items or without documents there are no rows. An item shorter than a term cannot be
-    indexed and matches nothing.
+    ignored. Without items or without documents there are no rows. An item shorter than a term is found
+    where a document holds all of it unaltered. exact: the passage is a phrase without altered characters.
     """
-    held = forms(items, item, item_text).collect()  # as large as the test set
-    shared = docs.sparkSession.sparkContext.broadcast(([r["item"] for r in held], Terms([r["form"] for r in held])))
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, terms = shared.value
-        if not len(terms.term):
-            return
-        for big in batches:
-            places = []
-            for at_row in range(0, len(big), BATCH_ROWS):
-                batch = big.iloc[at_row : at_row + BATCH_ROWS]
-                codes = normal([t.replace(chr(END), " ") for t in batch["_text"]])
-                places += [(at_row + d, *rest) for d, *rest in found_in(codes, terms, share)]
-            places.sort(key=lambda p: (p[4] - p[3], terms.size[p[1]]))
-            for i in range(0, len(places), 256):
-                some = places[i : i + 256]
-                span = aligned([(terms.codes[k], part, low, high) for _, k, part, low, high in some])
-                reached = (span[:, 1] - span[:, 0]) / terms.size[[p[1] for p in some]]
-                good = np.flatnonzero(reached >= share)
-                if len(good):
-                    yield pd.DataFrame({"doc": big["_doc"].iloc[[some[g][0] for g in good]].to_numpy(), "item": [names[some[g][1]] for g in good], "share": reached[good]})
-
     source = docs.select(F.col(doc).alias("_doc"), F.col(text).alias("_text")).filter(F.length("_text") > 0)
-    passed = source.mapInPandas(scan, f"doc {source.schema['_doc'].dataType.simpleString()}, item {items.schema[item].dataType.simpleString()}, share double")
-    return passed.groupBy("doc", "item").agg(F.max("share").alias("share")).select(F.col("doc").alias(doc), F.col("item").alias(item), "share")
+    schema = f"doc {source.schema['_doc'].dataType.simpleString()}, item {items.schema[item].dataType.simpleString()}, share double, exact boolean"
+
+    def scanned(held: list) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(([r["item"] for r in held], Terms([r["form"] for r in held])))
+
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            names, terms = shared.value
+            known = set(terms.item.tolist())
+            short = [i for i, n in enumerate(terms.size) if n and i not in known]
+            for big in batches:
+                places, rows = [], []
+                for at_row in range(0, len(big), BATCH_ROWS):
+                    batch = big.iloc[at_row : at_row + BATCH_ROWS]
+                    codes = normal([t.replace(chr(END), " ") for t in batch["_text"]])
+                    if len(terms.term):
+                        places += [(at_row + d, *rest) for d, *rest in found_in(codes, terms, share)]
+                    rows += [(at_row + d, short[i], 1.0, True) for d, i in short_items(codes, [terms.codes[i] for i in short])]
+                places.sort(key=lambda p: (p[4] - p[3], terms.size[p[1]]))
+                for i in range(0, len(places), 256):
+                    some = places[i : i + 256]
+                    span = aligned([(terms.codes[k], part, low, high) for _, k, part, low, high in some])
+                    reached = (span[:, 1] - span[:, 0]) / terms.size[[p[1] for p in some]]
+                    rows += [(some[g][0], some[g][1], float(reached[g]), bool(span[g, 2] == span[g, 1] - span[g, 0])) for g in np.flatnonzero(reached >= share)]
+                if rows:
+                    d, i, reached, exact = zip(*rows, strict=True)
+                    yield pd.DataFrame({"doc": big["_doc"].iloc[list(d)].to_numpy(), "item": [names[k] for k in i], "share": reached, "exact": exact})
+
+        return source.mapInPandas(scan, schema)
+
+    held = forms(items, item, item_text).withColumn("_h", F.pmod(F.xxhash64("item"), F.lit(1 << 30)))
+    passed = None
+    for low, high in blocks_of(held):
+        part = scanned(held.filter((F.col("_h") >= low) & (F.col("_h") < high)).select("item", "form").collect())  # ITEM_CHARS characters
+        passed = part if passed is None else passed.unionByName(part)
+    best = passed.groupBy("doc", "item").agg(F.max(F.struct("share", "exact")).alias("best"))
+    return best.select(F.col("doc").alias(doc), F.col("item").alias(item), "best.share", "best.exact")
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -321,6 +366,6 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_passages(spark: SparkSession, folder: str) -> DataFrame:
-    """Leaks with the share of the item that the document holds."""
+    """Leaks with the share of the item that the document holds, and whether it holds it as an exact phrase."""
     docs, items = spread(table(spark, folder, "documents")), table(spark, folder, "eval_items")
     return find(docs, "doc_id", items, "item_id").withColumn("share", F.round("share", 4))
