@@ -2,7 +2,10 @@
 
 import json
 
+import numpy as np
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,8 +25,19 @@ def one(spark, column, **values):
 
 
 def test_tokens(spark):
-    assert one(spark, X.search_tokens("t"), t="T-19 予測 a load_ratio") == ["t-19", "load_ratio", "予測"]
-    assert one(spark, X.search_tokens("t"), t="学習データ") == ["学習", "習デ", "デー", "ータ"]
+    assert one(spark, X.search_tokens("t"), t="T-19 予測 a load_ratio") == ["t-19", "load_ratio", "予測", "予測"]
+    assert one(spark, X.search_tokens("t"), t="学習データ") == ["学習データ", "学習", "習デ", "デー", "ータ"]
+    assert one(spark, X.search_tokens("t"), t="Flag_x. -y ab- 「金」を") == ["flag_x", "ab", "金", "を"]
+    assert X.tokens_of("T-19 予測 予測 金") == ["t-19", "予測", "金"] and X.tokens_of("か\u3099き") == ["がき"]
+    assert one(spark, X.token_count("t").cast("string"), t="T-19 予測x金 学習データ ab-") == "10"
+    # pairs go across what stands between; an underscore belongs to a word
+    assert one(spark, X.bag_tokens("t"), t="A_b 金a銀") == ["a_b", "a", "金銀", "金", "銀"]
+    assert one(spark, X.bag_tokens("t"), t="金") == ["金"] and one(spark, X.bag_tokens("t"), t="") == []
+    strong, weak = X.strong_weak("t")
+    assert one(spark, strong, t="Ab_1 x 予測値 金") == ["ab_1", "予測値"]
+    assert one(spark, weak, t="Ab_1 x 予測値 金") == ["予測", "測値"]
+    assert one(spark, weak, t="予測モデル") == ["予測モ", "測モデ", "モデル", "予測", "測モ", "モデ", "デル"]
+    assert one(spark, X.composed("t"), t="か\u3099") == "が"
     assert one(spark, X.search_tokens("t"), t="") == []
     assert one(spark, X.trigrams("t"), t="ab") == []
 
@@ -171,7 +185,24 @@ def test_changed_and_moved_lines(spark):
     pairs = spark.createDataFrame([(1, 2)], "old long, new long")
     c = diff.moved(diff.changed_lines(pairs, docs, "id", "text"), ["old", "new"]).select("line", "change", "times", "moved")
     assert rows(c) == [(" c", "add", 1, True), ("a", "remove", 1, False), ("b", "remove", 1, False), ("c", "remove", 1, True), ("d", "add", 1, False)]
-    assert diff.sequence_diff(pairs, docs, "id", "text").count() > 0
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(*[st.lists(st.sampled_from(["a", "b", "c", "", "d e"]), min_size=1, max_size=9)] * 2), min_size=1, max_size=6))
+def test_edit_blocks_turn_one_text_into_the_other(spark, versions):
+    data = [(2 * k + side, "\r\n".join(v[side]) if k % 2 else "\n".join(v[side])) for k, v in enumerate(versions) for side in (0, 1)]
+    docs = spark.createDataFrame(data, "id long, text string")
+    pairs = spark.createDataFrame([(2 * k, 2 * k + 1) for k in range(len(versions))], "old long, new long")
+    found = diff.edit_blocks(pairs, docs, "id", "text").collect()
+    for k, (a, b) in enumerate(versions):
+        if not all("\n".join(v) for v in (a, b)):
+            continue  # empty texts give no block
+        out, at = [], 0
+        for r in sorted((r for r in found if r.old == 2 * k), key=lambda r: (r.old_from, r.new_from)):
+            assert (r.op == "insert") == (r.old_from == r.old_to) and (r.op == "delete") == (r.new_from == r.new_to)
+            out += a[at : r.old_from] + b[r.new_from : r.new_to]
+            at = r.old_to
+        assert out + a[at:] == b
 
 
 def test_files(spark, tmp_path):
@@ -219,21 +250,80 @@ def test_batch_windows(spark):
     assert sorted(r.n for r in events.sessions(e).collect()) == [1, 2]
 
 
-def test_chunks_against_a_literal_reading(spark):
-    texts = ["", "a" * 50, "ab\ncd\n" * 30, "x" * 25 + "\n" + "y" * 90]
-    d = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="ab \n\u3000。", max_size=400))
+def test_chunks_have_their_properties(text):
+    spans = N.chunk_spans(text, 40, 8)
+    assert all(0 < e - s <= 40 and not text[s].isspace() and not text[e - 1].isspace() for s, e in spans)
+    covered = set().union(*[range(s, e) for s, e in spans]) if spans else set()
+    assert all(text[i].isspace() for i in range(len(text)) if i not in covered)
+    for (s, e), (s2, e2) in zip(spans, spans[1:], strict=False):
+        assert s < s2 and e <= e2 and s2 >= e - 8  # blanks may be left out between them
+        half = text[s + 20 : s + 40]
+        if "\n" not in half and not text[s + 39].isspace():
+            assert e == s + 40 or e2 == len(text.rstrip()) or e - s > 20
+
+
+def test_chunks_of_columns(spark):
+    d = spark.createDataFrame([(None,), ("",), (" \n ",), ("x" * 25 + "\n" + "y" * 90,)], "t string")
     got = [None if r.c is None else [(x.start, x.end) for x in r.c] for r in d.select(N.chunk_starts("t", 40, 8).alias("c")).collect()]
-    for t, chunks in zip(texts, got, strict=False):
-        at, want = 0, []
-        while at < len(t):
-            end = min(at + 40, len(t))
-            if end < len(t):
-                ends = [i for i in range(at + 20, end) if t[i] == "\n"]
-                end = ends[-1] if ends else end
-            want.append((at, end))
-            at = len(t) if end == len(t) else max(end - 8, at + 1)
-        assert chunks == want
-    assert got[-1] is None
+    assert got == [None, [], [], [(0, 25), (17, 57), (49, 89), (81, 116)]]
+
+
+def test_all_evidence_of_a_line(spark):
+    text = "佐藤部長と田中さん、山田様子 3,000円から12,000円、5%と7.5 %以上\nABC（Alpha社） EXT: 123 内線456\nID | item | owner\n【太字箇所】x / y\nT1 | a | 佐藤さん達"
+    d = spark.createDataFrame([(1, text), (2, ""), (3, None)], "id int, text string")
+    got: dict = {}
+    for r in evidence.extract(lines.lines(d, "id", "text"), ["id"]).collect():
+        got.setdefault(r.ev_type, []).append((r.ev_key, r.ev_value))
+    assert sorted(got["person"]) == [("佐藤", "佐藤部長"), ("田中", "田中さん")]
+    assert [v for _, v in got["amount"]] == ["3,000", "12,000"] and [v for _, v in got["rate"]] == ["5", "7.5"]
+    assert got["condition"] == [("以上", "以上")] and got["alias"] == [("ABC", "Alpha社")] and got["ext"] == [("123", "123"), ("456", "456")]
+    assert got["column"] == [("ID", "ID"), ("item", "item"), ("owner", "owner")] and got["bold"] == [("x", "x"), ("y", "y")]
+
+
+def test_empty_universe_is_not_complete(spark):
+    u = spark.createDataFrame([("c", False)], "k string, ok boolean")
+    assert not evidence.certificate(u, "k", F.col("ok"), u, u).first().complete
+
+
+def test_percentiles_and_ranks_against_numpy(spark):
+    rng = np.random.default_rng(2)
+    values = [float(v) for v in rng.integers(0, 40, 500)] + [1e9, -5.0]
+    d = spark.createDataFrame([(v, None if i % 7 == 0 else v * 2) for i, v in enumerate(values)], "a double, b double")
+    got = {(r["column"], r["pct"]): r["value"] for r in stats.percentiles(d, ["a", "b"]).collect()}
+    for name, x in (("a", values), ("b", [v * 2 for i, v in enumerate(values) if i % 7])):
+        for p in stats.PERCENTS:
+            assert got[name, p] == pytest.approx(np.percentile(x, p))
+    ranks = {r.a: r["rank"] for r in stats.average_ranks(d.withColumn("g", F.lit(1)), ["g"], "a").collect()}
+    assert all(ranks[v] == sum(w < v for w in values) + (values.count(v) + 1) / 2 for v in set(values))
+    assert stats.percentiles(d.limit(0), ["a"]).count() == 0
+
+
+def test_every_asked_vector_gets_its_list(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60, 5)).round(3)
+    data = [(i, [float(v) for v in row]) for i, row in enumerate(x)] + [(100, None), (101, [0.0] * 5), (102, [float("nan")] * 5), (103, [1.0, 2.0])]
+    d = spark.createDataFrame(data, "id long, v array<float>").repartition(5)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for block in (100, 4):
+        monkeypatch.setattr(search, "QUERY_BLOCK", block)
+        got: dict = {}
+        for r in search.nearest_all(d, "id", "v", F.col("id") % 10 == 0, 3).orderBy("query", "rank").collect():
+            got.setdefault(r["query"], []).append(r.id)
+        assert set(got) == {0, 10, 20, 30, 40, 50}
+        assert all(ids == list(np.argsort(-(u @ u[q]), kind="stable")[:3]) for q, ids in got.items())
+
+
+def test_streams_keep_late_rows(spark, tmp_path):
+    import datetime as dt
+
+    days = [(20, 1), (1, 1), (20, 2), (1, 2), (2, 9)]  # files out of time order, weeks apart
+    for n, (day, hour) in enumerate(days):
+        spark.createDataFrame([(n, dt.datetime(2024, 1, day, hour), 7, "a", 1.0, "")], events.EVENTS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = events.read_stream(spark, f"file://{tmp_path}/in", 1)
+    got = events.run_to_version(events.hourly(stream, None), f"file://{tmp_path}/out")
+    assert got.count() == 5 and got.agg(F.sum("n")).first()[0] == 5
 
 
 def test_forms(spark):

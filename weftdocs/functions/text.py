@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-CJK_RUN = "[ぁ-んァ-ヶー一-龠々]{2,}"
-ASCII_RUN = "[a-z0-9][a-z0-9_.-]*[a-z0-9]"
+# What belongs to a word and to a run of Japanese, for lines (LINE_*), chunks (BAG_*) and file names (NAME_*).
+LINE_ASCII, LINE_RUN = "[A-Za-z0-9][A-Za-z0-9_.-]*[A-Za-z0-9]", "[぀-ヿ㐀-鿿豈-﫿々〆ヶー]+"
+BAG_ASCII, BAG_CHAR = "[a-z0-9_]+", "[぀-ヿ一-鿿]"
+NAME_ASCII, NAME_RUN = "[A-Za-z0-9_]{2,}", "[ぁ-んァ-ヶ一-鿿々ー]{2,}"
+MARKS = "[\u0300-\u036f\u3099\u309a]"  # text without any of these is composed already
 ID_PATTERN = "(?:^|[^A-Za-z0-9-])([A-Za-z]{1,4})[-_]?([0-9]{1,4})(?:[^A-Za-z0-9]|$)"
 
 
@@ -21,18 +25,30 @@ def shingles(c: Column, n: int) -> Column:
     return F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
 
+def composed(text: str | Column) -> Column:
+    """NFC. Only texts that hold a combining mark go to Python."""
+    from weftdocs.functions.forms import normal_form
+
+    c = col(text)
+    return F.coalesce(normal_form(F.when(c.rlike(MARKS), c)), c)
+
+
 def search_tokens(text: str | Column) -> Column:
-    """Lower-case ASCII runs of two or more characters, and two-character windows of CJK runs; duplicates kept."""
-    low = F.lower(col(text))
-    runs = F.regexp_extract_all(low, F.lit(CJK_RUN), F.lit(0))
-    return F.concat(F.regexp_extract_all(low, F.lit(ASCII_RUN), F.lit(0)), F.flatten(F.transform(runs, lambda r: shingles(r, 2))))
+    """Tokens of lines: words of two or more characters that keep inner _ . -, whole runs of Japanese, and the
+    two-character windows of longer runs; in lower case, duplicates kept."""
+    c = col(text)
+    runs = F.regexp_extract_all(c, F.lit(LINE_RUN), F.lit(0))
+    words = F.transform(F.regexp_extract_all(c, F.lit(LINE_ASCII), F.lit(0)), F.lower)
+    return F.concat(words, F.flatten(F.transform(runs, lambda r: F.when(F.length(r) == 1, F.array(r)).otherwise(F.concat(F.array(r), shingles(r, 2))))))
 
 
 def tokens_of(query: str) -> list[str]:
     """The distinct search tokens of a query, in order."""
-    low = query.lower()
-    windows = [r[i : i + 2] for r in re.findall(CJK_RUN, low) for i in range(len(r) - 1)]
-    return list(dict.fromkeys(re.findall(ASCII_RUN, low) + windows))
+    q = unicodedata.normalize("NFC", query)
+    out = [w.lower() for w in re.findall(LINE_ASCII, q)]
+    for r in re.findall(LINE_RUN, q):
+        out += [r] if len(r) == 1 else [r, *(r[i : i + 2] for i in range(len(r) - 1))]
+    return list(dict.fromkeys(out))
 
 
 def mentions(text: str | Column, tokens: list[str]) -> Column:
@@ -41,25 +57,25 @@ def mentions(text: str | Column, tokens: list[str]) -> Column:
 
 
 def token_count(text: str | Column) -> Column:
-    """How many search tokens a text has, without making them."""
-    low = F.lower(col(text))
-    runs = F.regexp_extract_all(low, F.lit(CJK_RUN), F.lit(0))
-    return F.regexp_count(low, F.lit(ASCII_RUN)) + F.length(F.array_join(runs, "")) - F.size(runs)
+    """How many search tokens a text has, without making them: a run of n characters has n, as does a single one."""
+    c = col(text)
+    return F.regexp_count(c, F.lit(LINE_ASCII)) + F.length(F.array_join(F.regexp_extract_all(c, F.lit(LINE_RUN), F.lit(0)), ""))
 
 
 def bag_tokens(text: str | Column) -> Column:
-    """Words, CJK windows of two, and single CJK characters, as a bag."""
+    """Tokens of chunks, as a bag: words, pairs of Japanese characters that follow each other, whatever stands between, and single ones."""
     low = F.lower(col(text))
-    runs = F.regexp_extract_all(low, F.lit("[ぁ-んァ-ヶー一-龠々]+"), F.lit(0))
-    return F.concat(F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0)), F.flatten(F.transform(runs, lambda r: F.concat(shingles(r, 2), shingles(r, 1)))))
+    chars = F.regexp_extract_all(low, F.lit(BAG_CHAR), F.lit(0))
+    pairs = F.array_compact(F.zip_with(chars, F.slice(chars, 2, F.size(chars)), lambda a, b: F.concat(a, b)))
+    return F.concat(F.regexp_extract_all(low, F.lit(BAG_ASCII), F.lit(0)), pairs, chars)
 
 
 def strong_weak(text: str | Column) -> tuple[Column, Column]:
-    """Strong tokens are whole runs; weak ones are windows of CJK runs that are not strong themselves."""
-    low = F.lower(col(text))
-    runs = F.regexp_extract_all(low, F.lit(CJK_RUN), F.lit(0))
-    strong = F.array_distinct(F.concat(F.regexp_extract_all(low, F.lit(ASCII_RUN), F.lit(0)), runs))
-    weak = F.array_distinct(F.flatten(F.transform(runs, lambda r: shingles(r, 2))))
+    """Strong tokens are words and whole runs of Japanese; weak ones are windows of three and two that are not strong themselves."""
+    c = col(text)
+    runs = F.regexp_extract_all(c, F.lit(NAME_RUN), F.lit(0))
+    strong = F.array_distinct(F.concat(F.transform(F.regexp_extract_all(c, F.lit(NAME_ASCII), F.lit(0)), F.lower), runs))
+    weak = F.array_distinct(F.flatten(F.transform(runs, lambda r: F.concat(shingles(r, 3), shingles(r, 2)))))
     return strong, F.array_except(weak, strong)
 
 

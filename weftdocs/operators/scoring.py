@@ -34,10 +34,10 @@ def majority(df: DataFrame, group: list[str], vote: str, least: int) -> DataFram
     return top.withColumn("_k", F.count("*").over(w)).filter("_k = 1").drop("_m", "_k")
 
 
-def mean_one_weights(df: DataFrame, key: str, wanted: dict[str, float]) -> DataFrame:
-    """Adds weight: wanted share over actual share of the row's class, scaled to a mean of one."""
-    share = F.create_map(*[F.lit(x) for kv in wanted.items() for x in kv])
-    n = df.groupBy(key).agg(F.count("*").alias("_c"))  # one row per class
-    whole = n.agg(F.sum("_c").alias("_n"), F.sum(F.coalesce(F.try_element_at(share, F.col(key)), F.lit(0.0))).alias("_s"))
-    rated = n.crossJoin(F.broadcast(whole)).select(key, (F.try_divide(F.coalesce(F.try_element_at(share, F.col(key)), F.lit(0.0)) * F.col("_n"), F.col("_c") * F.col("_s"))).alias("weight"))
-    return df.join(F.broadcast(rated), key, "left")
+def mean_one_weights(df: DataFrame, key: str, wanted: dict[str, float] | None = None) -> DataFrame:
+    """Adds weight: wanted share over actual share of the row's class, scaled to a mean of one. Without wanted shares, all classes have the same one."""
+    share = F.try_element_at(F.create_map(*[F.lit(x) for kv in wanted.items() for x in kv]), F.col(key)) if wanted else F.lit(1.0)
+    n = df.groupBy(key).agg(F.count("*").alias("_c")).withColumn("_w", F.coalesce(share, F.lit(0.0)))  # one row per class
+    whole = n.agg(F.sum("_c").alias("_n"), F.sum("_w").alias("_s"))
+    rated = n.crossJoin(F.broadcast(whole)).select(key, F.try_divide(F.col("_w") * F.col("_n"), F.col("_c") * F.col("_s")).alias("weight"))  # one row
+    return df.join(rated, key, "left")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from weftdocs.operators.search import top
 
 PERCENTS = (10, 25, 50, 75, 90, 95)
-RANGES = 1000  # ranges of scores that are swept side by side
+RANGES = 200  # ranges of values that are counted side by side
 
 
 def melt(df: DataFrame, columns: list[str], *keep: str) -> DataFrame:
@@ -19,10 +19,32 @@ def melt(df: DataFrame, columns: list[str], *keep: str) -> DataFrame:
     return df.select(*keep, pairs).select(*keep, "p.column", "p.value")
 
 
+def per_column(df: DataFrame, columns: list[str], **of) -> DataFrame:
+    """(column, results): one aggregation over all columns at once, whose single row is then turned into one row a column."""
+    value = lambda c: F.col(c).cast("double")
+    row = df.agg(*[f(value(c)).alias(f"{k}_{i}") for i, c in enumerate(columns) for k, f in of.items()])
+    turned = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"{k}_{i}").alias(k) for k in of]) for i, c in enumerate(columns)])).alias("r")
+    return row.select(turned).select("r.*")
+
+
 def moments(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, n, low, high, mean, total, std): population standard deviation; nulls are left out."""
-    by = melt(df, columns).groupBy("column")
-    return by.agg(F.count("value").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.avg("value").alias("mean"), F.sum("value").alias("total"), F.stddev_pop("value").alias("std"))
+    return per_column(df, columns, n=F.count, low=F.min, high=F.max, mean=F.avg, total=F.sum, std=F.stddev_pop)
+
+
+def counted_values(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    """(group, value, n, below): how often each value occurs in its group, and how many smaller ones there are. Nulls are left out.
+
+    Values are counted first. The values of a group are cut at its approximate quantiles into RANGES ranges;
+    running counts go over the values of one range, and the counts of the ranges below are added.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("value")).agg(F.count("*").alias("n"))
+    cuts = counts.groupBy(*group).agg(F.percentile_approx("value", [i / RANGES for i in range(1, RANGES)], F.lit(10 * RANGES)).alias("_cuts"))  # one row for each group
+    at = counts.join(cuts, group).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("value")))).drop("_cuts")
+    sizes = at.groupBy(*group, "_range").agg(F.sum("n").alias("_n"))
+    lower = sizes.withColumn("_below", F.coalesce(F.sum("_n").over(Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy(*group, "_range").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return at.join(lower.drop("_n"), [*group, "_range"]).select(*group, "value", "n", (F.col("_below") + inside).alias("below"))
 
 
 def committed(first: Column, second: Column) -> Column:
@@ -31,15 +53,23 @@ def committed(first: Column, second: Column) -> Column:
 
 
 def percentiles(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, pct, value), linear between neighbours."""
-    by = melt(df, columns).groupBy("column").agg(F.percentile("value", [p / 100 for p in PERCENTS]).alias("v"))
-    return by.select("column", F.posexplode("v").alias("k", "value")).select("column", F.element_at(F.array(*[F.lit(p) for p in PERCENTS]), F.col("k") + 1).alias("pct"), "value")
+    """(column, pct, value), linear between neighbours; exact, from counted values."""
+    counted = counted_values(melt(df, columns), ["column"], "value")
+    total = counted.groupBy("column").agg(F.sum("n").alias("total"))  # one row for each column
+    wanted = total.select("column", "total", F.explode(F.array(*[F.lit(p) for p in PERCENTS])).alias("pct")).withColumn("at", F.col("pct") / 100.0 * (F.col("total") - 1))
+    low, high = F.floor("at"), F.ceil("at")
+    holds = lambda k: (F.col("below") <= k) & (k < F.col("below") + F.col("n"))
+    hit = counted.join(F.broadcast(wanted), "column").filter(holds(low) | holds(high))
+    ends = hit.groupBy("column", "pct", "at").agg(F.max(F.when(holds(low), F.col("value"))).alias("a"), F.max(F.when(holds(high), F.col("value"))).alias("b"))
+    return ends.select("column", "pct", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.floor("at"))).alias("value"))
 
 
 def correlations(df: DataFrame, target: str, features: list[str]) -> DataFrame:
     """(column, r): Pearson over rows where both are present; null for a constant column or under two rows."""
-    by = melt(df.filter(F.col(target).isNotNull()), features, target).filter("value IS NOT NULL").groupBy("column")
-    r = by.agg(F.covar_pop("value", target).alias("c"), F.count("*").alias("n"), F.stddev_pop("value").alias("s"), F.stddev_pop(target).alias("t"))
+    t = F.col(target).cast("double")
+    with_target = lambda v: F.when(v.isNotNull(), t)
+    of = {"c": lambda v: F.covar_pop(v, t), "n": lambda v: F.count(with_target(v)), "s": F.stddev_pop, "t": lambda v: F.stddev_pop(with_target(v))}
+    r = per_column(df.filter(F.col(target).isNotNull()), features, **of)
     return r.select("column", F.when((F.col("n") >= 2) & (F.col("s") > 0) & (F.col("t") > 0), F.try_divide("c", F.col("s") * F.col("t"))).alias("r"))
 
 
@@ -94,33 +124,40 @@ def least_squares(df: DataFrame, target: str, features: list[str]) -> dict[str,
 def f1_sweep(df: DataFrame, score: str, truth: str) -> DataFrame:
     """One row: the threshold of the best F1 when a row counts as positive from the threshold on.
 
-    Rows of one score are taken together; of equal F1 the lower threshold wins. Scores are grouped first,
-    so the running sums go over distinct scores only, in ranges: sums of the ranges above are added.
+    Rows of one score are taken together; of equal F1 the lower threshold wins. Scores are counted first, all
+    rows and positive ones, and the running counts go over ranges of scores that are cut at quantiles.
     """
-    span = F.broadcast(df.agg(F.min(score).alias("lo"), F.max(score).alias("hi")))  # one row
-    part = F.coalesce(F.least(F.floor(F.try_divide((F.col("t") - F.col("lo")) * RANGES, F.col("hi") - F.col("lo"))), F.lit(RANGES - 1)), F.lit(0))
-    groups = df.groupBy(F.col(score).cast("double").alias("t")).agg(F.sum(truth).alias("p"), F.count("*").alias("n")).crossJoin(span).select("t", "p", "n", part.alias("part"))
-    above = groups.groupBy("part").agg(F.sum("p").alias("pp"), F.sum("n").alias("nn"))
-    run = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
-    before = above.select("part", F.coalesce(F.sum("pp").over(run), F.lit(0)).alias("p0"), F.coalesce(F.sum("nn").over(run), F.lit(0)).alias("n0"))  # one row per range
-    inside = Window.partitionBy("part").orderBy(F.desc("t"))
-    total = F.broadcast(df.agg(F.sum(truth).alias("all_p")))
-    swept = groups.join(F.broadcast(before), "part").crossJoin(total).select("t", (F.sum("p").over(inside) + F.col("p0")).alias("tp"), (F.sum("n").over(inside) + F.col("n0")).alias("taken"), "all_p")
+    rows = df.select(F.lit(0).alias("_g"), F.col(score).cast("double").alias("t"), F.col(truth).alias("y"))
+    every = counted_values(rows, ["_g"], "t").select("_g", "value", "n", "below")
+    good = rows.groupBy("_g", F.col("t").alias("value")).agg(F.sum("y").alias("p"))
+    whole = F.broadcast(rows.agg(F.count("t").alias("all_n"), F.sum("y").alias("all_p")))  # one row
+    positive = counted_values(rows.filter("y = 1"), ["_g"], "t").select("value", F.col("n").alias("pn"), F.col("below").alias("p_below"))
+    # a score without positives has the positives of the next higher score that has some
+    up = Window.partitionBy("_range").orderBy(F.desc("value")).rowsBetween(Window.unboundedPreceding, 0)
+    cuts = F.broadcast(every.agg(F.percentile_approx("value", [i / RANGES for i in range(1, RANGES)], F.lit(10 * RANGES)).alias("_cuts")))  # one row
+    joined = every.join(good, ["_g", "value"]).join(positive, "value", "left").crossJoin(cuts).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("value")))).drop("_cuts")
+    per = joined.groupBy("_range").agg(F.sum("p").alias("pp"))
+    above = per.select("_range", F.coalesce(F.sum("pp").over(Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("p0"))  # one row for each range
+    swept = joined.join(F.broadcast(above), "_range").crossJoin(whole).select("value", (F.sum("p").over(up) + F.col("p0")).alias("tp"), (F.col("all_n") - F.col("below")).alias("taken"), "all_p")
     f1 = F.try_divide(2.0 * F.col("tp"), F.col("taken") + F.col("all_p"))
-    return top(swept.select(F.col("t").alias("threshold"), "tp", (F.col("taken") - F.col("tp")).alias("fp"), (F.col("all_p") - F.col("tp")).alias("fn"), F.round(f1, 8).alias("f1")), 1, F.desc("f1"), "threshold")
+    return top(swept.select(F.col("value").alias("threshold"), "tp", (F.col("taken") - F.col("tp")).alias("fp"), (F.col("all_p") - F.col("tp")).alias("fn"), F.round(f1, 8).alias("f1")), 1, F.desc("f1"), "threshold")
 
 
-def average_ranks(df: DataFrame, group: list[str], value: str) -> Column:
-    """Rank from 1; ties share their average."""
-    w = Window.partitionBy(*group)
-    return F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*group, value)) - 1) / 2.0
+def average_ranks(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    """(group, value, rank): rank from 1 of each value; ties share their average."""
+    return counted_values(df, group, value).select(*group, F.col("value").alias(value), (F.col("below") + (F.col("n") + 1) / 2.0).alias("rank"))
 
 
 def spearman(df: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
-    """(group, rho) from average ranks; null where one side is constant."""
-    ranks = df.select(*group, average_ranks(df, group, x).alias("rx"), average_ranks(df, group, y).alias("ry"))
-    by = ranks.groupBy(*group).agg(F.covar_pop("rx", "ry").alias("c"), F.stddev_pop("rx").alias("sx"), F.stddev_pop("ry").alias("sy"))
-    return by.select(*group, F.when((F.col("sx") > 0) & (F.col("sy") > 0), F.try_divide("c", F.col("sx") * F.col("sy"))).alias("rho"))
+    """(group, rho) from average ranks over rows with both values; null where one side is constant."""
+    rows = df.select(*group, F.col(x).alias("x"), F.col(y).alias("y")).dropna(subset=["x", "y"])
+    # pairs of values are counted first, so that each is looked up once
+    pairs = rows.groupBy(*group, "x", "y").agg(F.count("*").alias("k"))
+    ranked = pairs.join(average_ranks(rows, group, "x").withColumnRenamed("rank", "rx"), [*group, "x"]).join(average_ranks(rows, group, "y").withColumnRenamed("rank", "ry"), [*group, "y"])
+    s = lambda e: F.sum(F.col("k") * e)
+    by = ranked.groupBy(*group).agg(F.sum("k").alias("n"), s(F.col("rx")).alias("a"), s(F.col("ry")).alias("b"), s(F.col("rx") * F.col("ry")).alias("ab"), s(F.col("rx") * F.col("rx")).alias("aa"), s(F.col("ry") * F.col("ry")).alias("bb"))
+    vx, vy = F.col("n") * F.col("aa") - F.col("a") * F.col("a"), F.col("n") * F.col("bb") - F.col("b") * F.col("b")
+    return by.select(*group, F.when((vx > 0) & (vy > 0), (F.col("n") * F.col("ab") - F.col("a") * F.col("b")) / F.sqrt(vx) / F.sqrt(vy)).alias("rho"))
 
 
 def unique_best(df: DataFrame, group: list[str], value: Column | str, *order: Column) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftdocs.functions.text import version_base, version_rank
 from weftdocs.operators import diff as D
 from weftdocs.operators import evidence as E
 from weftdocs.operators import formula as X
@@ -42,7 +43,10 @@ def typed_evidence(spark: SparkSession, folder: str) -> DataFrame:
 
 TYPED = (
     f"WITH {LINES}, e AS ("
-    + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS ev_type, regexp_extract(line, '{p}', {a}) AS ev_key, regexp_extract(line, '{p}', {b}) AS ev_value FROM lines WHERE regexp_matches(line, '{p}')" for k, (p, a, b) in E.PATTERNS.items())
+    + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS ev_type, regexp_extract(line, '{p}', {a}) AS ev_key, regexp_extract(line, '{p}', {b}) AS ev_value FROM lines WHERE regexp_matches(line, '{p}')" for k, (p, a, b) in E.WHOLE.items())
+    + "".join(f" UNION ALL SELECT doc_id, '{k}', regexp_extract(t, '{q}', {a}), regexp_extract(t, '{q}', {b}) FROM (SELECT doc_id, unnest(regexp_extract_all(line, '{p}')) AS t FROM lines) WHERE regexp_matches(t, '{q}')" for k, (p, q, a, b) in E.WITHIN.items())
+    + f" UNION ALL SELECT doc_id, 'bold', trim(w), trim(w) FROM (SELECT doc_id, unnest(string_split(replace(line, '{E.BOLD}', ''), ' / ')) AS w FROM lines WHERE starts_with(line, '{E.BOLD}')) WHERE trim(w) <> ''"
+    + " UNION ALL SELECT doc_id, 'column', trim(w), trim(w) FROM (SELECT doc_id, unnest(string_split(line, ' | ')) AS w FROM lines WHERE contains(line, ' | ') AND NOT regexp_matches(line, '[0-9]'))"
     + ") SELECT ev_type, ev_key, count(*) AS n, count(DISTINCT doc_id) AS docs, min(ev_value) AS least, max(ev_value) AS most FROM e GROUP BY 1, 2"
 )
 
@@ -59,15 +63,15 @@ LOOKUP = "WITH e AS (SELECT DISTINCT ON (ev_id) * FROM evidence_rows WHERE regex
 def scan_certificate(spark: SparkSession, folder: str) -> DataFrame:
     """How complete a scan of all registered files for highlights is."""
     docs = table(spark, folder, "extracted_docs")
-    readable = (F.coalesce(F.col("encrypted"), F.lit(False)) == False) & F.col("error").isNull()  # noqa: E712
+    readable = (F.coalesce(F.col("encrypted"), F.lit(False)) == False) & (F.coalesce("error", F.lit("")) == "")  # noqa: E712
     scanned = docs.filter(F.length("text") > 0)
     hits = scanned.filter(F.col("text").rlike(r"\(yellow\)|黄色"))
     return E.certificate(docs, "rel", readable, scanned, hits)
 
 
 CERTIFICATE = r"""
-WITH u AS (SELECT rel, coalesce(bool_or(NOT coalesce(encrypted, false) AND error IS NULL), false) AS ok, bool_or(coalesce(length(text), 0) > 0) AS seen, bool_or(coalesce(regexp_matches(text, '\(yellow\)|黄色'), false)) AS hit FROM extracted_docs GROUP BY 1)
-SELECT count(*) AS total, count(*) FILTER (ok) AS applicable, count(*) FILTER (ok AND seen) AS scanned, count(*) FILTER (NOT ok) AS unsupported, count(*) FILTER (hit) AS hits, count(*) FILTER (ok AND NOT seen) = 0 AS complete FROM u"""
+WITH u AS (SELECT rel, coalesce(bool_or(NOT coalesce(encrypted, false) AND coalesce(error, '') = ''), false) AS ok, bool_or(coalesce(length(text), 0) > 0) AS seen, bool_or(coalesce(regexp_matches(text, '\(yellow\)|黄色'), false)) AS hit FROM extracted_docs GROUP BY 1)
+SELECT count(*) AS total, count(*) FILTER (ok) AS applicable, count(*) FILTER (ok AND seen) AS scanned, count(*) FILTER (NOT ok) AS unsupported, count(*) FILTER (hit) AS hits, count(*) FILTER (ok) > 0 AND count(*) FILTER (ok AND NOT seen) = 0 AS complete FROM u"""
 
 
 def filled_sheets(spark: SparkSession, folder: str) -> DataFrame:
@@ -117,19 +121,31 @@ SELECT owner, count(*) AS tasks, sum(days)::BIGINT AS days, round(sum(days) / co
 
 
 def _pairs(docs: DataFrame) -> DataFrame:
-    return D.version_pairs(docs.filter("project IS NOT NULL AND text <> ''"), ["project", "category", "ext"], "ext_id", "ext_id")
+    """(old, new): extractions of one file, and the newest extractions of the files of one version family, each with the one before."""
+    some = docs.filter("text <> ''").select("ext_id", "rel", "project", "category", "name")
+    again = D.version_pairs(some, ["rel"], "ext_id", "ext_id").select("old", "new")
+    newest = some.groupBy("rel").agg(F.max(F.struct("ext_id", "project", "category", "name")).alias("r")).select("rel", "r.*").filter("project IS NOT NULL")
+    family = F.regexp_replace(version_base("name"), "[_ ]?[0-9]{9}", "")
+    return again.unionByName(D.version_pairs(newest.withColumn("family", family).withColumn("rank", version_rank("name")), ["project", "category", "family"], "ext_id", "rank", "rel").select("old", "new"))
+
+
+PAIRS = r"""s AS (SELECT ext_id, rel, project, category, name, lower(regexp_replace(name, '\.[A-Za-z0-9]+$', '')) AS st FROM extracted_docs WHERE text <> ''),
+newest AS (SELECT *, regexp_replace(trim(regexp_replace(st, '(_old|_final|_v[0-9]+|[ _]?改訂-[0-9]+| rev-[0-9]+)', '', 'g')), '[_ ]?[0-9]{9}', '', 'g') AS family,
+  CASE WHEN contains(st, '_old') THEN -1 WHEN contains(st, '_final') THEN 10000 ELSE coalesce(try_cast(regexp_extract(st, '(?:_v|改訂-| rev-)([0-9]+)', 1) AS INT), 0) END AS rank
+  FROM s WHERE project IS NOT NULL QUALIFY row_number() OVER (PARTITION BY rel ORDER BY ext_id DESC) = 1),
+p AS (SELECT lag(ext_id) OVER (PARTITION BY rel ORDER BY ext_id) AS old, ext_id AS new FROM s
+  UNION ALL SELECT lag(ext_id) OVER (PARTITION BY project, category, family ORDER BY rank, rel), ext_id FROM newest)"""
 
 
 def version_changes(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines added and removed between consecutive files of a project, category and type; moved ones apart."""
+    """Lines added and removed between consecutive versions; moved ones apart."""
     docs = table(spark, folder, "extracted_docs")
     c = D.moved(D.changed_lines(_pairs(docs), docs, "ext_id", "text"), ["old", "new"])
     return c.groupBy("old", "new", "change", "moved").agg(F.sum("times").alias("lines"))
 
 
-CHANGES = r"""
-WITH p AS (SELECT lag(ext_id) OVER (PARTITION BY project, category, ext ORDER BY ext_id) AS old, ext_id AS new FROM extracted_docs WHERE project IS NOT NULL AND text <> ''),
-s AS (SELECT ext_id, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) AS parts FROM extracted_docs), l AS (SELECT ext_id, unnest(parts) AS line FROM s), n AS (SELECT ext_id, line, count(*) AS n FROM l WHERE trim(line) <> '' GROUP BY 1, 2),
+CHANGES = "WITH " + PAIRS + r""",
+t AS (SELECT ext_id, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) AS parts FROM extracted_docs), l AS (SELECT ext_id, unnest(parts) AS line FROM t), n AS (SELECT ext_id, line, count(*) AS n FROM l WHERE trim(line) <> '' GROUP BY 1, 2),
 u AS (SELECT old, new, line, -n AS d FROM p JOIN n ON n.ext_id = old UNION ALL SELECT old, new, line, n FROM p JOIN n ON n.ext_id = new WHERE old IS NOT NULL),
 d AS (SELECT old, new, line, sum(d) AS d FROM u GROUP BY 1, 2, 3 HAVING sum(d) <> 0), m AS (SELECT *, lower(regexp_replace(line, '\s+', '', 'g')) AS shape FROM d),
 k AS (SELECT *, max((d > 0)::INT) OVER w = 1 AND max((d < 0)::INT) OVER w = 1 AS moved FROM m WINDOW w AS (PARTITION BY old, new, shape))
@@ -137,10 +153,22 @@ SELECT old, new, CASE WHEN d > 0 THEN 'add' ELSE 'remove' END AS change, moved,
 
 
 def edit_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    """Edit blocks in order between extractions of one file. The order of edits is beyond SQL."""
-    docs = table(spark, folder, "extracted_docs").filter("text <> ''")
-    pairs = D.version_pairs(docs, ["project", "category", "ext"], "ext_id", "ext_id")
-    return D.sequence_diff(pairs, docs, "ext_id", "text")
+    """Edit blocks in order between consecutive versions."""
+    docs = table(spark, folder, "extracted_docs")
+    return D.edit_blocks(_pairs(docs), docs, "ext_id", "text")
+
+
+EDITS = "WITH " + PAIRS + r""",
+t AS (SELECT ext_id, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) AS parts FROM extracted_docs WHERE text <> ''),
+l AS (SELECT ext_id, i AS no, parts[i] AS line, len(parts) AS n FROM t, LATERAL (SELECT unnest(range(1, len(parts) + 1)) AS i)),
+o AS (SELECT *, row_number() OVER (PARTITION BY ext_id, line ORDER BY no) AS k FROM l),
+m AS (SELECT p.old, p.new, a.no AS i, b.no AS j FROM p JOIN o a ON a.ext_id = p.old JOIN o b ON b.ext_id = p.new AND a.line = b.line AND a.k = b.k),
+x AS (SELECT *, max(j) OVER (PARTITION BY old, new ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, min(j) OVER (PARTITION BY old, new ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM m),
+c AS (SELECT old, new, i, j FROM x WHERE coalesce(before, 0) < j AND coalesce(after, j + 1) > j
+  UNION ALL SELECT p.old, p.new, (SELECT len(parts) + 1 FROM t WHERE ext_id = p.old), (SELECT len(parts) + 1 FROM t WHERE ext_id = p.new) FROM p WHERE p.old IS NOT NULL),
+g AS (SELECT *, coalesce(lag(i) OVER w, 0) AS i0, coalesce(lag(j) OVER w, 0) AS j0 FROM c WINDOW w AS (PARTITION BY old, new ORDER BY i))
+SELECT old, new, CASE WHEN i - i0 = 1 THEN 'insert' WHEN j - j0 = 1 THEN 'delete' ELSE 'replace' END AS op, i0::INT AS old_from, (i - 1)::INT AS old_to, j0::INT AS new_from, (j - 1)::INT AS new_to
+FROM g WHERE i - i0 > 1 OR j - j0 > 1"""
 
 
 MARGIN = {"op": "round", "args": [{"op": "percent_change", "args": [{"op": "mul", "args": [{"ref": "l_extendedprice"}, {"op": "sub", "args": [{"const": 1}, {"ref": "l_discount"}]}]}, {"ref": "l_extendedprice"}]}, {"const": 3}]}
@@ -164,7 +192,7 @@ def formula_verified(spark: SparkSession, folder: str) -> DataFrame:
     return both.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.count_if(F.abs(F.col("a") - F.col("b")) <= 1e-6).alias("agree"))
 
 
-VERIFIED = "SELECT o_orderstatus, count(*) AS n, count(*) AS agree FROM orders GROUP BY 1"
+VERIFIED = "SELECT o_orderstatus, count(*) AS n, count(*) FILTER (abs((o_totalprice * 0.1::DOUBLE + o_orderkey * 2) - (o_totalprice::DECIMAL(18, 4) * 0.1 + o_orderkey * 2)::DOUBLE) <= 1e-6) AS agree FROM orders GROUP BY 1"
 
 
 def verdicts(spark: SparkSession, folder: str) -> DataFrame:
@@ -220,8 +248,7 @@ STABILITY = "WITH q AS (SELECT archetype, question, count(DISTINCT coalesce(syst
 def weighted_accuracy(spark: SparkSession, folder: str) -> DataFrame:
     """Accuracy when every difficulty had the same share."""
     g = table(spark, folder, "gold_100_review").filter("difficulty IS NOT NULL")
-    kinds = [r["difficulty"] for r in g.select("difficulty").distinct().orderBy("difficulty").limit(50).collect()]  # a few classes
-    w = C.mean_one_weights(g, "difficulty", {k: 1.0 for k in kinds})
+    w = C.mean_one_weights(g, "difficulty")
     return w.agg(F.round(F.try_divide(F.sum(F.col("weight") * (F.col("status") == "MATCH").cast("int")), F.sum("weight")), 6).alias("weighted"), F.round(F.avg((F.col("status") == "MATCH").cast("int")), 6).alias("plain"))
 
 
@@ -270,7 +297,7 @@ QUERIES = {
 }
 ORACLE = {
     "lines_context": CONTEXT, "lines_grep": GREP, "lines_tagged": TAGGED, "lines_last_parameters": LAST_PARAMS, "lines_table_rows": TABLE_ROWS, "evidence_typed": TYPED, "evidence_lookup": LOOKUP,
-    "evidence_certificate": CERTIFICATE, "evidence_filled_sheets": FILLED, "diff_version_changes": CHANGES, "formula_column": FORMULA, "formula_verified": VERIFIED, "score_verdicts": VERDICTS,
+    "evidence_certificate": CERTIFICATE, "evidence_filled_sheets": FILLED, "diff_version_changes": CHANGES, "diff_edit_blocks": EDITS, "formula_column": FORMULA, "formula_verified": VERIFIED, "score_verdicts": VERDICTS,
     "score_transitions": TRANSITIONS, "score_thresholds": THRESHOLDS, "score_majority": MAJORITY, "score_stability": STABILITY, "score_weighted": WEIGHTED, "score_highlight_recall": RECALL,
     "source_fingerprints": FINGERPRINTS, "source_paths": PATHS,
 }

@@ -86,11 +86,25 @@ MANIFEST = MANIFEST.replace("SELECT project, category, (row_number() OVER w)::IN
 
 
 def chunked(spark: SparkSession, folder: str) -> DataFrame:
-    """Chunks of at most 1,200 characters that prefer line ends. Each start depends on the end before it; the tests compare with a literal reading."""
+    """Chunks of at most 1,200 characters that prefer line ends. Each start depends on the end before it."""
     d = spread(table(spark, folder, "documents")).filter("text <> ''").select("doc_id", F.explode(N.chunk_starts("text")).alias("c"))
     return d.select("doc_id", "c.start", "c.end")
 
 
+# Blanks as Python strips them.
+BLANK = r"[\s\v\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+CHUNKED = rf"""
+WITH RECURSIVE t AS (SELECT doc_id, text, length(regexp_extract(text, '^{BLANK}*')) AS lead, length(regexp_replace(text, '{BLANK}+$', '')) AS n FROM documents WHERE text <> ''),
+p(doc_id, text, n, piece, s, e, done) AS (
+  SELECT doc_id, text, n, 0, 0::BIGINT, (lead + 180)::BIGINT, n <= lead FROM t
+  UNION ALL
+  SELECT doc_id, text, n, piece + 1, s, CASE WHEN n - s <= 1200 THEN n WHEN line > 0 THEN s + 599 + line ELSE s + 1200 END, n - s <= 1200
+  FROM (SELECT doc_id, text, n, piece, e - 180 AS s, length(regexp_extract(substr(text, (e - 180 + 601)::BIGINT, 600), '(?s)^.*\n')) AS line FROM p WHERE NOT done)),
+c AS (SELECT doc_id, s, e, substr(text, (s + 1)::BIGINT, (e - s)::BIGINT) AS part FROM p WHERE piece > 0),
+i AS (SELECT doc_id, s + length(regexp_extract(part, '^{BLANK}*')) AS s2, s + length(regexp_replace(part, '{BLANK}+$', '')) AS e2 FROM c)
+SELECT doc_id, s2::INT AS start, e2::INT AS "end" FROM i WHERE e2 > s2"""
+
+
 
 def answer_sources(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold a whole sentence of an expected answer."""
@@ -164,6 +178,7 @@ QUERIES = {
     "search_chunked": chunked, "search_answer_sources": answer_sources, "search_expanded_terms": expanded_terms, "lines_ordered_ids": ordered_ids, "lines_labelled_numbers": labelled_numbers, "forms_rounded": rounded,
 }
 ORACLE = {
+    "search_chunked": CHUNKED, 
     "forms_unicode": UNICODE, "forms_id_ranges": ID_RANGES, "forms_list_answers": LIST_ANSWERS, "source_filtered_files": FILTERED, "lines_keyword_windows": WINDOWS, "source_manifest": MANIFEST,
     "search_answer_sources": SOURCES, "search_expanded_terms": EXPANDED, "lines_ordered_ids": ORDERED_IDS, "lines_labelled_numbers": LABELLED, "forms_rounded": ROUNDED,
 }

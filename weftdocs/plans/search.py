@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftdocs.functions.text import ID_PATTERN, bag_tokens, canonical_id, locator, search_tokens, stem, strong_weak, trigrams, version_base
+from weftdocs.functions.text import ID_PATTERN, bag_tokens, canonical_id, composed, locator, search_tokens, stem, strong_weak, trigrams, version_base
 from weftdocs.operators import lines as L
 from weftdocs.operators import search as S
 from weftdocs.session import spread, table
@@ -13,13 +13,17 @@ from weftdocs.session import spread, table
 QUERY = "予測モデル 欠損率 load_ratio audit trail"
 
 # DuckDB forms of the token functions
-TOK = "list_concat(regexp_extract_all(lower({c}), '[a-z0-9][a-z0-9_.-]*[a-z0-9]'), flatten(list_transform(regexp_extract_all(lower({c}), '[ぁ-んァ-ヶー一-龠々]{{2,}}'), lambda r: list_transform(range(1, length(r)), lambda i: substr(r, i, 2)))))"
-LINES = "lines AS (SELECT doc_id, i AS line_no, parts[i] AS line FROM (SELECT doc_id, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) AS parts FROM documents), LATERAL (SELECT unnest(range(1, len(parts) + 1)) AS i) WHERE trim(parts[i]) <> '')"
+TOK = "list_concat(list_transform(regexp_extract_all({c}, '[A-Za-z0-9][A-Za-z0-9_.-]*[A-Za-z0-9]'), lambda w: lower(w)), flatten(list_transform(regexp_extract_all({c}, '[぀-ヿ㐀-鿿豈-﫿々〆ヶー]+'), lambda r: CASE WHEN length(r) = 1 THEN [r] ELSE list_concat([r], list_transform(range(1, length(r)), lambda i: substr(r, i, 2))) END)))"
+LINES = "lines AS (SELECT doc_id, i AS line_no, parts[i] AS line FROM (SELECT doc_id, string_split(replace(nfc_normalize(text), chr(13) || chr(10), chr(10)), chr(10)) AS parts FROM documents), LATERAL (SELECT unnest(range(1, len(parts) + 1)) AS i) WHERE trim(parts[i]) <> '')"
 ASKED = TOK.format(c=f"'{QUERY}'")
 
 
 def doc_lines(spark: SparkSession, folder: str) -> DataFrame:
-    return L.lines(spread(table(spark, folder, "documents")), "doc_id", "text")
+    return L.lines(spread(table(spark, folder, "documents")).select("doc_id", composed("text").alias("text")), "doc_id", "text")
+
+
+def composed_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "chunks")).withColumn("text", composed("text"))
 
 
 def line_search(spark: SparkSession, folder: str) -> DataFrame:
@@ -36,61 +40,93 @@ FROM hits JOIN w USING (token) GROUP BY doc_id, line_no ORDER BY score DESC, doc
 
 
 def idf_table(spark: SparkSession, folder: str) -> DataFrame:
-    chunks = spread(table(spark, folder, "chunks"))
+    chunks = composed_chunks(spark, folder)
     posts = chunks.select("id", F.explode(F.array_distinct(search_tokens("text"))).alias("token"))
     weights = S.idf(posts, chunks.count())
     return weights.select("token", "df", F.round("idf", 6).alias("idf"))
 
 
 IDF_TABLE = f"""
-WITH p AS (SELECT id, unnest(list_distinct({TOK.format(c='text')})) AS token FROM chunks)
+WITH p AS (SELECT id, unnest(list_distinct({TOK.format(c='nfc_normalize(text)')})) AS token FROM chunks)
 SELECT token, count(*) AS df, round(ln(((SELECT count(*) FROM chunks) + 1) / (count(*) + 1)) + 1, 6) AS idf FROM p GROUP BY token"""
 
 
 def bm25_top(spark: SparkSession, folder: str) -> DataFrame:
-    return S.top(S.bm25(spread(table(spark, folder, "chunks")), ["id"], "text", QUERY), 50, F.desc("score"), "id")
+    return S.top(S.bm25(composed_chunks(spark, folder), ["id"], "text", QUERY), 50, F.desc("score"), "id")
 
 
 BM25_SQL = f"""
-WITH t AS (SELECT id, unnest({TOK.format(c='text')}) AS token FROM chunks), p AS (SELECT id, token, count(*) AS tf FROM t GROUP BY id, token),
+WITH t AS (SELECT id, unnest({TOK.format(c='nfc_normalize(text)')}) AS token FROM chunks), p AS (SELECT id, token, count(*) AS tf FROM t GROUP BY id, token),
 len AS (SELECT id, sum(tf) AS n FROM p GROUP BY id), a AS (SELECT count(*) AS n, avg(n) AS avg_len FROM len),
 q AS (SELECT unnest(list_distinct({ASKED})) AS token), m AS (SELECT p.* FROM p SEMI JOIN q USING (token)), d AS (SELECT token, count(*) AS df FROM m GROUP BY token),
 s AS (SELECT m.id, sum(ln((a.n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len.n / avg_len))) AS score FROM m JOIN d USING (token) JOIN len USING (id) CROSS JOIN a GROUP BY m.id)
 SELECT id, round(score, 6) AS score FROM s ORDER BY round(score, 6) DESC, id LIMIT 50"""
 
 
+ASKING = "id % 50 = 0"  # the queries of a search
+
+
 def _dense(spark: SparkSession, folder: str, k: int) -> DataFrame:
-    vectors = table(spark, folder, "chunk_vectors")
-    asked = vectors.filter("chunk_id = 50").select(F.col("embedding").alias("q"))
-    scored = vectors.crossJoin(F.broadcast(asked)).select(F.col("chunk_id").alias("id"), F.round(S.cosine("embedding", "q"), 6).alias("score"))  # one query row
-    return S.top(scored.filter("score IS NOT NULL AND NOT isnan(score)"), k, F.desc("score"), "id")
+    vectors = table(spark, folder, "chunk_vectors").withColumnRenamed("chunk_id", "id")
+    return S.nearest_all(spread(vectors), "id", "embedding", F.expr(ASKING), k)
 
 
 def dense_top(spark: SparkSession, folder: str) -> DataFrame:
+    """Of every chunk whose id is divisible by 50, the 20 most similar chunks."""
     return _dense(spark, folder, 20)
 
 
-DENSE_CTE = """v AS (SELECT chunk_id AS id, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM chunk_vectors WHERE chunk_id = 50)) AS c FROM chunk_vectors WHERE embedding IS NOT NULL),
-dense AS (SELECT id, round(c, 6) AS score FROM v WHERE NOT isnan(c) ORDER BY 2 DESC, 1 LIMIT {k})"""
+DENSE_CTE = """u AS (SELECT chunk_id AS id, embedding::DOUBLE[] AS v FROM chunk_vectors WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AND len(list_filter(embedding, lambda x: isnan(x) OR isinf(x))) = 0),
+near AS (SELECT q.id AS query, u.id, round(list_cosine_similarity(u.v, q.v), 6) AS score FROM u JOIN u q ON q.id % 50 = 0 AND len(q.v) = len(u.v)),
+dense AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) - 1 AS rank FROM near QUALIFY rank < {k})"""
 DENSE_SQL = f"WITH {DENSE_CTE.format(k=20)} SELECT * FROM dense"
 
+RARE = 4.0  # least weight of a rare token
+
+
+def _rare(chunks: DataFrame, least: float) -> DataFrame:
+    """(id, token, idf) of tokens that are rare in the collection."""
+    posts = chunks.select("id", F.explode(F.array_distinct(bag_tokens("text"))).alias("token"))
+    n = chunks.agg(F.count("*").alias("units"))
+    frequent = posts.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))  # one row
+    weights = frequent.select("token", (F.log((F.col("units") + 1) / (F.col("df") + 1)) + 1).alias("idf")).filter(F.col("idf") >= least)
+    return posts.join(weights, "token")
+
 
 def hybrid(spark: SparkSession, folder: str) -> DataFrame:
-    """Dense and sparse lists fused by rank from 0; newer versions and facts are weighted after."""
-    order = [F.desc("score"), "id"]
-    dense = S.ranked(_dense(spark, folder, 90), order, 0)
-    sparse = S.ranked(S.top(S.bm25(spread(table(spark, folder, "chunks")), ["id"], "text", QUERY), 90, *order), order, 0)
-    fused = S.fuse([(dense, "dense", 1.0), (sparse, "sparse", 1.0)], ["id"])
-    boost = F.when(F.col("kind") == "fact", 1.25).otherwise(1.0) * F.when(F.col("file").contains("_old"), 0.8).otherwise(1.0)
-    boosted = fused.join(table(spark, folder, "chunks").select("id", "kind", "file"), "id").withColumn("score", F.round(F.col("score") * boost, 9))
-    return S.top(boosted.select("id", "score", "sources"), 16, F.desc("score"), "id")
+    """For every chunk whose id is divisible by 50: the list by vectors and the list by rare tokens shared with it, fused by rank from 0.
+
+    Chunks of the query's project and file weigh more, as do facts; old versions weigh less.
+    """
+    chunks = composed_chunks(spark, folder)
+    about = chunks.select("id", "kind", "file", "project")
+    dense = _dense(spark, folder, 90).select("query", "id", "rank")
+    rare = _rare(chunks, RARE)
+    asked = rare.filter(ASKING).select(F.col("id").alias("query"), "token")
+    shared = asked.join(rare, "token").groupBy("query", "id").agg(F.round(F.sum("idf"), 6).alias("rarity"))
+    order = Window.partitionBy("query").orderBy(F.desc("rarity"), "id")
+    sparse = shared.withColumn("rank", F.row_number().over(order) - 1).filter("rank < 90").select("query", "id", "rank")
+    fused = S.fuse([(dense, "dense", 1.0), (sparse, "rare", 1.0)], ["query", "id"], digits=15)
+    of_query = about.filter(ASKING).select(F.col("id").alias("query"), F.col("project").alias("own_project"), F.col("file").alias("own_file"))
+    near = fused.filter("query <> id").join(about, "id").join(of_query, "query")
+    boost = (
+        F.when(F.col("project") == F.col("own_project"), 1.6).otherwise(1.0) * F.when(F.col("file") == F.col("own_file"), 2.2).otherwise(1.0)
+        * F.when(F.col("kind") == "fact", 1.25).otherwise(1.0) * F.when(F.col("file").contains("_old"), 0.8).otherwise(1.0)
+    )
+    boosted = near.withColumn("score", F.round(F.col("score") * boost, 9))
+    return L.capped(boosted.select("query", "id", "score", "sources"), ["query"], [F.desc("score"), "id"], 16)
 
 
 HYBRID_SQL = f"""
-WITH {DENSE_CTE.format(k=90)}, sparse AS ({BM25_SQL.replace('LIMIT 50', 'LIMIT 90')}),
-r AS (SELECT id, 'dense' AS source, row_number() OVER (ORDER BY score DESC, id) - 1 AS rank FROM dense UNION ALL SELECT id, 'sparse', row_number() OVER (ORDER BY score DESC, id) - 1 FROM sparse),
-f AS (SELECT id, round(sum(1.0 / (60 + rank)), 9) AS score, string_agg(source, '+' ORDER BY source) AS sources FROM r GROUP BY id)
-SELECT id, round(score * CASE WHEN kind = 'fact' THEN 1.25 ELSE 1.0 END * CASE WHEN file LIKE '%\\_old%' ESCAPE '\\' THEN 0.8 ELSE 1.0 END, 9) AS score, sources FROM f JOIN chunks USING (id) ORDER BY score DESC, id LIMIT 16"""
+WITH {DENSE_CTE.format(k=90)}, t AS (SELECT id, unnest(list_distinct({{BAG}})) AS token FROM (SELECT id, nfc_normalize(text) AS text FROM chunks)),
+w AS (SELECT token, ln(((SELECT count(*) FROM chunks) + 1) / (count(*) + 1)) + 1 AS idf FROM t GROUP BY token HAVING idf >= {RARE}), r AS (SELECT * FROM t JOIN w USING (token)),
+s AS (SELECT q.id AS query, r.id, round(sum(r.idf), 6) AS rarity FROM r q JOIN r USING (token) WHERE q.id % 50 = 0 GROUP BY 1, 2),
+sparse AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rarity DESC, id) - 1 AS rank FROM s QUALIFY rank < 90),
+l AS (SELECT query, id, rank, 'dense' AS source FROM dense UNION ALL SELECT query, id, rank, 'rare' FROM sparse),
+f AS (SELECT query, id, round(sum(1.0::DOUBLE / (60 + rank)), 15) AS score, string_agg(source, '+' ORDER BY source) AS sources FROM l WHERE query <> id GROUP BY 1, 2),
+b AS (SELECT f.query, f.id, round(score * CASE WHEN c.project = o.project THEN 1.6 ELSE 1.0 END::DOUBLE * CASE WHEN c.file = o.file THEN 2.2 ELSE 1.0 END::DOUBLE * CASE WHEN c.kind = 'fact' THEN 1.25 ELSE 1.0 END::DOUBLE * CASE WHEN contains(c.file, '_old') THEN 0.8 ELSE 1.0 END::DOUBLE, 9) AS score, sources
+  FROM f JOIN chunks c ON c.id = f.id JOIN chunks o ON o.id = f.query)
+SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, id) <= 16"""
 
 
 def fusion(spark: SparkSession, folder: str) -> DataFrame:
@@ -155,7 +191,7 @@ def candidate_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 CANDIDATE_SQL = """
-WITH q AS (SELECT unnest(['notes', '000000', '予測モデル', '予測', '測モ', 'モデ', 'デル']) AS token), st AS (SELECT ['notes', '000000', '予測モデル'] AS s),
+WITH q AS (SELECT unnest(['notes', '000000', '予測モデル', '予測モ', '測モデ', 'モデル', '予測', '測モ', 'モデ', 'デル']) AS token), st AS (SELECT ['notes', '000000', '予測モデル'] AS s),
 f AS (SELECT DISTINCT file, token FROM evidence_rows, q WHERE contains(lower(coalesce(ev_value, '')), token) OR contains(lower(file), token)),
 m AS (SELECT *, list_contains((SELECT s FROM st), token) AS strong, contains(lower(file), token) AS named FROM f),
 g AS (SELECT file, sum(length(token)) FILTER (strong) AS s, max(5) FILTER (strong AND named) AS bonus, sum(length(token) * 0.25) FILTER (NOT strong) AS w FROM m GROUP BY file)
@@ -227,7 +263,7 @@ SELECT review_id, min(case_id) AS case_id, min(alias) AS alias FROM l GROUP BY r
 
 def vocabulary_retry(spark: SparkSession, folder: str) -> DataFrame:
     """For misspelt query words, corpus tokens that share most of their trigrams, the rarest first."""
-    posts = table(spark, folder, "chunks").select("id", F.explode(F.array_distinct(search_tokens("text"))).alias("token"))
+    posts = composed_chunks(spark, folder).select("id", F.explode(F.array_distinct(search_tokens("text"))).alias("token"))
     frequencies = posts.filter(F.length("token") >= 4).groupBy("token").agg(F.count("*").alias("df"))
     asked = trigrams(F.lit("load_ratoi"))
     shared = F.size(F.array_intersect(trigrams("token"), asked)) / F.size(asked)
@@ -235,7 +271,7 @@ def vocabulary_retry(spark: SparkSession, folder: str) -> DataFrame:
 
 
 RETRY_SQL = f"""
-WITH p AS (SELECT id, unnest(list_distinct({TOK.format(c='text')})) AS token FROM chunks), f AS (SELECT token, count(*) AS df FROM p WHERE length(token) >= 4 GROUP BY token),
+WITH p AS (SELECT id, unnest(list_distinct({TOK.format(c='nfc_normalize(text)')})) AS token FROM chunks), f AS (SELECT token, count(*) AS df FROM p WHERE length(token) >= 4 GROUP BY token),
 g AS (SELECT token, df, list_distinct(list_transform(range(1, length(token) - 1), lambda i: substr(token, i, 3))) AS t FROM f), q AS (SELECT list_transform(range(1, 9), lambda i: substr('load_ratoi', i, 3)) AS t)
 SELECT token, df, round(len(list_intersect(g.t, q.t)) / len(q.t), 6) AS overlap FROM g, q WHERE len(list_intersect(g.t, q.t)) / len(q.t) >= 0.4 ORDER BY overlap DESC, df, token LIMIT 10"""
 
@@ -246,7 +282,7 @@ def bag_profile(spark: SparkSession, folder: str) -> DataFrame:
     return bag.groupBy("project").agg(F.sum("n").alias("tokens"), F.sum("d").alias("distinct_tokens"))
 
 
-BAG = "list_concat(regexp_extract_all(lower(text), '[a-z0-9]+'), flatten(list_transform(regexp_extract_all(lower(text), '[ぁ-んァ-ヶー一-龠々]+'), lambda r: list_concat(list_transform(range(1, length(r)), lambda i: substr(r, i, 2)), list_transform(range(1, length(r) + 1), lambda i: substr(r, i, 1))))))"
+BAG = "list_concat(regexp_extract_all(lower(text), '[a-z0-9_]+'), list_transform(range(1, len(regexp_extract_all(lower(text), '[぀-ヿ一-鿿]'))), lambda i: list_aggregate(regexp_extract_all(lower(text), '[぀-ヿ一-鿿]')[i:i+1], 'string_agg', '')), regexp_extract_all(lower(text), '[぀-ヿ一-鿿]'))"
 BAG_SQL = f"SELECT project, sum(len({BAG}))::BIGINT AS tokens, sum(len(list_distinct({BAG})))::BIGINT AS distinct_tokens FROM chunks GROUP BY project"
 
 QUERIES = {
@@ -255,7 +291,7 @@ QUERIES = {
     "search_resolve_files": resolve_files, "search_bind_alias": bind_alias, "search_vocabulary_retry": vocabulary_retry, "search_bag_profile": bag_profile,
 }
 ORACLE = {
-    "search_lines_by_idf": LINE_SEARCH, "search_idf_table": IDF_TABLE, "search_bm25_top": BM25_SQL, "search_dense_top": DENSE_SQL, "search_hybrid_rrf": HYBRID_SQL, "search_weighted_fusion": FUSION_SQL,
+    "search_lines_by_idf": LINE_SEARCH, "search_idf_table": IDF_TABLE, "search_bm25_top": BM25_SQL, "search_dense_top": DENSE_SQL, "search_hybrid_rrf": HYBRID_SQL.replace("{BAG}", BAG), "search_weighted_fusion": FUSION_SQL,
     "search_diversified": DIVERSIFIED_SQL, "search_chunk_neighbours": NEIGHBOURS_SQL, "search_candidate_files": CANDIDATE_SQL, "search_id_occurrences": ID_SQL, "search_id_lookup": ID_LOOKUP_SQL,
     "search_resolve_files": RESOLVE_SQL, "search_bind_alias": BIND_SQL, "search_vocabulary_retry": RETRY_SQL, "search_bag_profile": BAG_SQL,
 }

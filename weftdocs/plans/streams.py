@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,32 +10,26 @@ from pyspark.sql import functions as F
 from weftdocs.operators import joins as J
 from weftdocs.sources import files
 from weftdocs.streaming import events as V
-from weftdocs.session import table
+from weftdocs.session import shared_folder, table
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder below the shared one that the cluster names, or a temporary one where it names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftdocs-stream-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    """A new folder below the shared one."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def hourly(spark: SparkSession, folder: str) -> DataFrame:
-    """Hours by a stream over the events' file, read again as a table."""
-    out = _folder(spark)
-    source = f"{folder}/events.parquet"
-    stream = V.hourly(V.read_stream(spark, source), "2 days")
-    V.run_to_table(stream.withColumn("_k", F.lit(1)), f"{out}/rows", f"{out}/state")
-    closed = spark.read.parquet(f"{out}/rows").drop("_k")
-    # hours that the watermark has not closed yet are computed from the table
-    whole = V.hourly(table(spark, folder, "events"))
-    return whole.join(closed.select("hour", "event_type", F.col("n").alias("streamed")), ["hour", "event_type"], "left").filter("streamed IS NULL OR streamed = n").select(F.date_format("hour", "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "n", "total")
+    """Hours as a stream over the events' files leaves them; late rows correct the hour they belong to."""
+    rows = V.run_to_version(V.hourly(V.read_stream(spark, f"{folder}/events.parquet"), None), _folder(spark))
+    return rows.select(F.date_format("hour", "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "n", "total")
 
 
 HOURLY = "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"
 
 
 def user_sessions(spark: SparkSession, folder: str) -> DataFrame:
-    s = V.sessions(table(spark, folder, "events"), "30 minutes")
+    """Sessions as a stream over the events' files leaves them."""
+    s = V.run_to_version(V.sessions(V.read_stream(spark, f"{folder}/events.parquet"), "30 minutes", None), _folder(spark))
     return s.groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("n").alias("longest"))
 
 

@@ -14,24 +14,27 @@ def timed(events: DataFrame) -> DataFrame:
     return events.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def hourly(events: DataFrame, late: str = "2 hours") -> DataFrame:
-    """Counts and sums by hour and type, for a batch or a stream; rows later than `late` are dropped by a stream."""
+def marked(events: DataFrame, late: str | None) -> DataFrame:
+    """Event time, and for a stream the watermark; without one, no row comes too late and no group is closed."""
     e = timed(events)
-    e = e.withWatermark("ts", late) if events.isStreaming else e
+    return e.withWatermark("ts", late) if events.isStreaming and late else e
+
+
+def hourly(events: DataFrame, late: str | None = "2 hours") -> DataFrame:
+    """Counts and sums by hour and type, for a batch or a stream; rows later than `late` are dropped by a stream."""
+    e = marked(events, late)
     g = e.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return g.select(F.col("window.start").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-def sliding(events: DataFrame, late: str = "2 hours") -> DataFrame:
-    e = timed(events)
-    e = e.withWatermark("ts", late) if events.isStreaming else e
+def sliding(events: DataFrame, late: str | None = "2 hours") -> DataFrame:
+    e = marked(events, late)
     g = e.groupBy(F.window("ts", "1 hour", "30 minutes")).agg(F.count("*").alias("n"), F.approx_count_distinct("user_id").alias("users"))
     return g.select(F.col("window.start").alias("start"), "n", "users")
 
 
-def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
-    e = timed(events)
-    e = e.withWatermark("ts", late) if events.isStreaming else e
+def sessions(events: DataFrame, gap: str = "30 minutes", late: str | None = "2 hours") -> DataFrame:
+    e = marked(events, late)
     g = e.groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
     return g.select("user_id", F.col("session_window.start").alias("start"), F.unix_timestamp(F.col("session_window.end")).alias("_e"), "n").select("user_id", "start", "n", (F.col("_e") - F.unix_timestamp("start")).alias("seconds"))
 
@@ -57,6 +60,20 @@ def run_to_table(stream: DataFrame, out: str, checkpoint: str, mode: str = "appe
     query.awaitTermination()
 
 
+def run_to_version(stream: DataFrame, folder: str) -> DataFrame:
+    """Processes all that is there and gives the result table as the last batch left it. A batch that is run again writes its version again."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number:06d}")
+
+    query = stream.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", f"{folder}/_state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    last = (query.lastProgress or {}).get("batchId") if query.recentProgress else None
+    if last is None:
+        return stream.sparkSession.createDataFrame([], stream.schema)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/batch={last:06d}")
+
+
 def upsert_ledger(stream: DataFrame, keys: list[str], order: str, folder: str, checkpoint: str) -> None:
     """Keeps the last record of each key in a versioned table; a batch that is run again writes its version again."""
     spark = stream.sparkSession
