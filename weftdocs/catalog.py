@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weftdocs.plans import documents, entities, forms, search, stats, streams
+from weftdocs.plans import answers, documents, entities, forms, search, stats, streams
 
-MODULES = [search, stats, entities, documents, streams, forms]
+MODULES = [search, stats, entities, documents, streams, forms, answers]
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
 FLAGSHIP = "search_lines_by_idf"
