@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from weftdocs.functions import forms as N
 from weftdocs.functions import text as X
+from weftdocs.functions import values as U
 from weftdocs.operators import diff, evidence, formula, joins, lines, scoring, search, stats
 from weftdocs.sources import files
 from weftdocs.streaming import events
@@ -334,3 +335,27 @@ def test_forms(spark):
     assert one(spark, N.normal_form("c"), c="e\u0301") == "é"
     d = spark.createDataFrame([(["a"], ["a", "b"]), (["a"], ["b"]), (["a"], ["a"])], "o array<string>, n array<string>")
     assert [r.x for r in d.select(N.appended(F.col("o"), F.col("n")).alias("x")).collect()] == [["b"], None, None]
+
+
+def test_numbers_and_rates(spark):
+    assert one(spark, U.numbers("c"), c="1,200円と3.5%") == ["1200", "3.5"] and one(spark, U.numbers("c"), c="") == []
+    got = [one(spark, U.number_verdict("a", "b"), a=a, b=b) for a, b in (("12%", "12.0"), ("12.3", "12.34"), ("12.4", "12.34"), ("1 2", "1"), ("x", "1"), ("0.5", "1"), (None, "1"))]
+    assert got == ["exact", "rounded", "no", "no", "no", "rounded", "no"]
+    assert tuple(one(spark, U.rate("c"), c="20〜10%")) == (10.0, 20.0, 15.0) and one(spark, U.rate("c"), c="1 2 3") is None and one(spark, U.rate("c"), c="") is None
+    assert [one(spark, U.hours("c"), c=c) for c in ("2", "2.5h", "3時間", "4 hours", "h", "T2", None)] == [2.0, 2.5, 3.0, 4.0, None, None, None]
+    assert one(spark, U.header_core("c"), c="金額（円）") == "金額" and one(spark, U.without_bracket("c"), c="12件（3%）") == "12件（3%）" and one(spark, U.without_bracket("c"), c="12（件）") == "12"
+    asked = spark.createDataFrame([("小数点以下2桁で", 1.23456), ("to 1 decimal place", 2.25), ("いくつ", 1.5)], "q string, v double")
+    assert [r.x for r in asked.select(U.rounded_as_asked("q", F.col("v")).alias("x")).collect()] == [1.23, 2.3, 1.5]
+    assert one(spark, U.tilde_range("c"), c="[1.5, 2)") == "1.5〜2"
+
+
+def test_answers_and_wordings(spark):
+    got = [one(spark, U.answer_verdict("a", "b"), a=a, b=b) for a, b in (("T24です。", "t24"), ("12.0", "12"), ("予測モデルの移行", "予測モデル"), ("", "x"), ("a", "b"))]
+    assert got == ["same", "number", "contains", "different", "different"]
+    d = spark.createDataFrame([(["ab", "c"], ["a", "c"]), (["ab"], ["x"]), ([], ["a"]), (["a"], [])], "f array<string>, w array<string>")
+    assert [r.x for r in d.select(U.set_contained(F.col("f"), F.col("w")).alias("x")).collect()] == [True, False, False, True]
+    assert [one(spark, U.status_kind("c"), c=c) for c in ("完了", "未完了", "進行中", "x", "closed")] == ["done", "open", "open", "unknown", "done"]
+    assert [one(spark, U.coarse_colour("c"), c=c) for c in ("FF0000", "ffff00", "00B050", "0070C0", "FFFFFF", "000000", "7F7F7F", "FFC000", "x")] == ["red", "yellow", "green", "blue", "white", "black", "grey", "yellow", None]
+    assert one(spark, U.paraphrases("c"), c="値は何ですか。") == ["値を教えてください。"] and one(spark, U.paraphrases("c"), c="x") == []
+    assert one(spark, U.condition_of("c"), c="もし10%下がったらいくらですか") == "10%下がっ" and one(spark, U.condition_of("c"), c="いくらですか") is None
+    assert [tuple(one(spark, U.change_score("c"), c=c)) for c in ("[page3]", "T12は3,000円", "文言のみ")] == [("boilerplate", 0, 0), ("substantive", 2, 2), ("wording", 1, 0)]

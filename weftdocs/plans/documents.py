@@ -120,7 +120,7 @@ WITH {LINES}, r AS (SELECT string_split(line, ' | ') AS c FROM lines), t AS (SEL
 SELECT owner, count(*) AS tasks, sum(days)::BIGINT AS days, round(sum(days) / count(*), 2) AS per_task FROM t GROUP BY 1"""
 
 
-def _pairs(docs: DataFrame) -> DataFrame:
+def version_pairs_of(docs: DataFrame) -> DataFrame:
     """(old, new): extractions of one file, and the newest extractions of the files of one version family, each with the one before."""
     some = docs.filter("text <> ''").select("ext_id", "rel", "project", "category", "name")
     again = D.version_pairs(some, ["rel"], "ext_id", "ext_id").select("old", "new")
@@ -140,7 +140,7 @@ p AS (SELECT lag(ext_id) OVER (PARTITION BY rel ORDER BY ext_id) AS old, ext_id
 def version_changes(spark: SparkSession, folder: str) -> DataFrame:
     """Lines added and removed between consecutive versions; moved ones apart."""
     docs = table(spark, folder, "extracted_docs")
-    c = D.moved(D.changed_lines(_pairs(docs), docs, "ext_id", "text"), ["old", "new"])
+    c = D.moved(D.changed_lines(version_pairs_of(docs), docs, "ext_id", "text"), ["old", "new"])
     return c.groupBy("old", "new", "change", "moved").agg(F.sum("times").alias("lines"))
 
 
@@ -155,7 +155,7 @@ SELECT old, new, CASE WHEN d > 0 THEN 'add' ELSE 'remove' END AS change, moved,
 def edit_blocks(spark: SparkSession, folder: str) -> DataFrame:
     """Edit blocks in order between consecutive versions."""
     docs = table(spark, folder, "extracted_docs")
-    return D.edit_blocks(_pairs(docs), docs, "ext_id", "text")
+    return D.edit_blocks(version_pairs_of(docs), docs, "ext_id", "text")
 
 
 EDITS = "WITH " + PAIRS + r""",

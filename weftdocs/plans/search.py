@@ -63,17 +63,20 @@ s AS (SELECT m.id, sum(ln((a.n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf +
 SELECT id, round(score, 6) AS score FROM s ORDER BY round(score, 6) DESC, id LIMIT 50"""
 
 
+BM25_ALL = BM25_SQL.replace("ORDER BY round(score, 6) DESC, id LIMIT 50", "")
+
 ASKING = "id % 50 = 0"  # the queries of a search
 
 
-def _dense(spark: SparkSession, folder: str, k: int) -> DataFrame:
+def dense_lists(spark: SparkSession, folder: str, k: int) -> DataFrame:
+    """(query, id, score, rank): of every asked chunk, the k most similar ones."""
     vectors = table(spark, folder, "chunk_vectors").withColumnRenamed("chunk_id", "id")
     return S.nearest_all(spread(vectors), "id", "embedding", F.expr(ASKING), k)
 
 
 def dense_top(spark: SparkSession, folder: str) -> DataFrame:
     """Of every chunk whose id is divisible by 50, the 20 most similar chunks."""
-    return _dense(spark, folder, 20)
+    return dense_lists(spark, folder, 20)
 
 
 DENSE_CTE = """u AS (SELECT chunk_id AS id, embedding::DOUBLE[] AS v FROM chunk_vectors WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AND len(list_filter(embedding, lambda x: isnan(x) OR isinf(x))) = 0),
@@ -100,7 +103,7 @@ def hybrid(spark: SparkSession, folder: str) -> DataFrame:
     """
     chunks = composed_chunks(spark, folder)
     about = chunks.select("id", "kind", "file", "project")
-    dense = _dense(spark, folder, 90).select("query", "id", "rank")
+    dense = dense_lists(spark, folder, 90).select("query", "id", "rank")
     rare = _rare(chunks, RARE)
     asked = rare.filter(ASKING).select(F.col("id").alias("query"), "token")
     shared = asked.join(rare, "token").groupBy("query", "id").agg(F.round(F.sum("idf"), 6).alias("rarity"))
