@@ -87,8 +87,44 @@ def totals_by_grouping(spark: SparkSession, folder: str) -> DataFrame:
 
 CUBE = "SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity::DECIMAL(18,2))::DOUBLE AS quantity, grouping(l_returnflag, l_linestatus) AS level FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)"
 
+def versioned(spark: SparkSession, folder: str) -> DataFrame:
+    """Evidence written as two versions of a table, the second one whole; read again, the last version counts."""
+    out = _folder(spark)
+    e = table(spark, folder, "evidence_rows").dropDuplicates(["ev_id"]).select("ev_id", "ev_type", "file")
+    files.write_version(e.filter("ev_type = 'person'"), out, ["ev_id"], ["ev_type"])
+    files.write_version(e, out, ["ev_id"], ["ev_type"])
+    return files.read_latest(spark, out, e.schema).groupBy("ev_type").agg(F.count("*").alias("n"), F.min("ev_id").alias("first"), F.count_distinct("file").alias("files"))
+
+
+VERSIONED = "WITH e AS (SELECT DISTINCT ON (ev_id) * FROM evidence_rows) SELECT ev_type, count(*) AS n, min(ev_id) AS first, count(DISTINCT file) AS files FROM e GROUP BY 1"
+
+
+def delimited_numbers(spark: SparkSession, folder: str) -> DataFrame:
+    """Reviews written as a delimited file and read as text: which columns hold numbers only, and their totals."""
+    out = f"{_folder(spark)}/reviews"
+    g = table(spark, folder, "gold_100_review").select("review_id", "item_index", "status", "confidence", "question")
+    g.write.option("header", "true").option("escape", '"').csv(out)
+    typed, numbers = files.numeric_where_whole(files.delimited(spark, out))
+    return typed.agg(*[F.round(F.sum(F.col(c).cast("decimal(20,4)")), 4).cast("double").alias(c) for c in sorted(numbers)], F.count("*").alias("rows"))
+
+
+DELIMITED = "SELECT sum(review_id)::DOUBLE AS review_id, sum(item_index)::DOUBLE AS item_index, round(sum(try_cast(confidence AS DECIMAL(20,4))), 4)::DOUBLE AS confidence, count(*) AS rows FROM gold_100_review"
+
+
+def text_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents written as text files, one folder for each language; found by a walk and decoded again."""
+    out = f"{_folder(spark)}/texts"
+    d = table(spark, folder, "documents").filter("text IS NOT NULL AND lang IS NOT NULL")
+    d.select("lang", F.regexp_replace("text", "[\\r\\n]", " ").alias("value")).write.option("maxRecordsPerFile", 10_000).partitionBy("lang").text(out)
+    t = files.texts(spark, out).select(F.regexp_extract("rel", "lang=([^/]*)/", 1).alias("lang"), F.explode(F.split("text", "\n")).alias("line")).filter("line <> ''")
+    return t.groupBy("lang").agg(F.count("*").alias("docs"), F.sum(F.length("line")).alias("characters"))
+
+
+TEXT_FILES = "SELECT lang, count(*) AS docs, sum(length(text))::BIGINT AS characters FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL AND text <> '' GROUP BY 1"
+
 QUERIES = {
+    "source_versioned": versioned, "source_delimited": delimited_numbers, "source_text_files": text_files,
     "stream_hourly": hourly, "stream_sessions": user_sessions, "stream_last_records": last_records, "stream_late_rows": late_rows, "source_json_properties": event_properties,
     "source_incremental": changed_since, "stats_cube": totals_by_grouping,
 }
-ORACLE = {"stream_hourly": HOURLY, "stream_sessions": SESSIONS, "stream_last_records": LAST, "stream_late_rows": LATE, "source_json_properties": PROPERTIES, "source_incremental": CHANGED, "stats_cube": CUBE}
+ORACLE = {"source_versioned": VERSIONED, "source_delimited": DELIMITED, "source_text_files": TEXT_FILES, "stream_hourly": HOURLY, "stream_sessions": SESSIONS, "stream_last_records": LAST, "stream_late_rows": LATE, "source_json_properties": PROPERTIES, "source_incremental": CHANGED, "stats_cube": CUBE}
