@@ -238,8 +238,11 @@ def test_ledger_keeps_last_record(spark, tmp_path):
         spark.createDataFrame(data, events.EVENTS).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
     stream = spark.readStream.schema(events.EVENTS).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     events.upsert_ledger(stream, ["user_id"], "event_id", f"{tmp_path}/out", f"{tmp_path}/state")
-    last = sorted(p.name for p in (tmp_path / "out").iterdir())[-1]
-    assert rows(spark.read.parquet(f"{tmp_path}/out/{last}").select("user_id", "event_id")) == [(7, 3), (8, 4)]
+    ledger = events.read_ledger(spark, f"{tmp_path}/out", events.EVENTS)
+    assert rows(ledger.select("user_id", "event_id")) == [(7, 3), (8, 4)]
+    # a batch rewrites the buckets of its keys only
+    assert len(list((tmp_path / "out" / "batch=000000").glob("bucket=*"))) == 1 and len(list((tmp_path / "out" / "batch=000001").glob("bucket=*"))) == 2
+    assert events.read_ledger(spark, f"{tmp_path}/none", events.EVENTS).count() == 0
 
 
 def test_batch_windows(spark):

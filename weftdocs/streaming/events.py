@@ -74,16 +74,45 @@ def run_to_version(stream: DataFrame, folder: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/batch={last:06d}")
 
 
-def upsert_ledger(stream: DataFrame, keys: list[str], order: str, folder: str, checkpoint: str) -> None:
-    """Keeps the last record of each key in a versioned table; a batch that is run again writes its version again."""
+BUCKETS = 64  # parts of a ledger; a batch rewrites those that its keys fall into
+
+
+def upsert_ledger(stream: DataFrame, keys: list[str], order: str, folder: str, checkpoint: str, buckets: int = BUCKETS) -> None:
+    """Keeps the last record of each key in a table of versioned buckets; `read_ledger` reads it.
+
+    A batch rewrites the buckets of its keys only. A batch that is run again writes its version again, from
+    the versions before it.
+    """
     spark = stream.sparkSession
 
     def merge(batch: DataFrame, number: int) -> None:
-        before = f"{folder}/batch={number - 1:06d}"
-        path = spark._jvm.org.apache.hadoop.fs.Path(before)
-        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        rows = batch.unionByName(spark.read.schema(batch.schema).parquet(before)) if number and fs.exists(path) else batch
-        last = rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in batch.columns if c not in keys]), order).alias("r"))
-        last.select(*keys, "r.*").select(*batch.columns).write.mode("overwrite").parquet(f"{folder}/batch={number:06d}")
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        rows = batch.withColumn("bucket", bucket)
+        touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]  # as many as there are buckets
+        before = _newest(spark, folder, number)
+        paths = [before[b] for b in touched if b in before]
+        if paths:
+            rows = rows.unionByName(spark.read.schema(batch.schema).parquet(*paths).withColumn("bucket", bucket))
+        last = rows.groupBy("bucket", *keys).agg(F.max_by(F.struct(*[c for c in batch.columns if c not in keys]), order).alias("r"))
+        last.select("bucket", *keys, "r.*").select("bucket", *batch.columns).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/batch={number:06d}")
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def _newest(spark: SparkSession, folder: str, before: int | None = None) -> dict[int, str]:
+    """The folder of the newest whole version of each bucket, of batches before the given one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    out: dict[int, str] = {}
+    batches = sorted((s.getPath() for s in fs.listStatus(path)), key=str) if fs.exists(path) else []
+    for b in batches:
+        name = b.getName()
+        if name.startswith("batch=") and (before is None or int(name[6:]) < before) and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(b, "_SUCCESS")):
+            out.update({int(p.getPath().getName()[7:]): str(p.getPath()) for p in fs.listStatus(b) if p.getPath().getName().startswith("bucket=")})
+    return out
+
+
+def read_ledger(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
+    """The last record of each key; empty where nothing was written."""
+    paths = sorted(_newest(spark, folder).values())
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
