@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -231,22 +233,35 @@ def masked(question: str | None, answer: str) -> str:
     return re.sub(r"\d+(?:[.,]\d+)*", "0", a)
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("context", T.StringType()), T.StructField("ends", T.IntegerType())])))
-def places(texts: pd.Series) -> pd.Series:
-    """Every place of a text with the characters before it; ends is 1 where a sentence or the text ends."""
+def places(t: str) -> tuple[list[str], list[str]]:
+    """The characters before every place of a text, at all lengths of CONTEXTS; and those before places where a sentence or the text ends."""
+    comma = "、" if LIST_JA.fullmatch(t) else "," if "," in t and "." not in t else None  # in a list, an item may be the last
+    t = "^" + t
+    every, ends = [], []
+    for i in range(2, len(t) + 1):
+        if t[i - 1] in STOPS:
+            continue
+        before = [t[max(0, i - n) : i] for n in CONTEXTS if i >= n or n == CONTEXTS[-1]]
+        every += before
+        if i == len(t) or t[i] == comma or (t[i] in STOPS and (i + 1 == len(t) or t[i] in "。！？" or t[i + 1] == " ")):
+            ends += before
+    return every, ends
 
-    def of(t: str) -> list[tuple]:
-        comma = "、" if LIST_JA.fullmatch(t) else "," if "," in t and "." not in t else None  # in a list, an item may be the last
-        t = "^" + t
-        out = []
-        for i in range(2, len(t) + 1):
-            if t[i - 1] in STOPS:
-                continue
-            last = i == len(t) or t[i] == comma or (t[i] in STOPS and (i + 1 == len(t) or t[i] in "。！？" or t[i + 1] == " "))
-            out += [(t[max(0, i - n) : i], int(last)) for n in CONTEXTS if i >= n or n == CONTEXTS[-1]]
-        return out
 
-    return texts.map(of)
+def counted_places(texts: DataFrame) -> DataFrame:
+    """(context, n, e): how often each context occurs and how often it ends, counted in each batch first."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            every, ends = Counter(), Counter()
+            for t in batch["masked"]:
+                a, b = places(t)
+                every.update(a)
+                ends.update(b)
+            if every:
+                yield pd.DataFrame({"context": list(every), "n": list(every.values()), "e": [ends[c] for c in every]})
+
+    return texts.select("masked").mapInPandas(count, "context string, n long, e long")
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -269,8 +284,8 @@ def endings(answers: DataFrame) -> DataFrame:
     """
     texts = answers.select("masked").distinct()
     wanted = texts.select("masked", F.posexplode(last_contexts("masked")).alias("level", "context"))
-    counts = answers.select("asked", "masked").distinct().select(F.explode(places("masked")).alias("p")).select("p.*")
-    counts = counts.join(wanted.select("context").distinct(), "context", "left_semi").groupBy("context").agg(F.count("*").alias("n"), F.sum("ends").alias("e"))
+    counts = counted_places(answers.select("asked", "masked").distinct())
+    counts = counts.join(wanted.select("context").distinct(), "context", "left_semi").groupBy("context").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
     known = wanted.join(counts, "context").filter(F.col("n") - 1 >= SEEN).withColumn("share", (F.col("e") - 1) / (F.col("n") - 1))
     return known.groupBy("masked").agg(F.min_by("share", "level").alias("share")).select("masked", (F.col("share") < ENDS).alias("goes_on"))
 
