@@ -16,6 +16,8 @@ discounted cost of the start after it. Two objectives differ in cost and discoun
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -28,16 +30,26 @@ LIMIT, OVERLAP, LEAST = 1200, 180, 601
 NOWHERE = 3  # penalty of an end that is no boundary
 
 
+@lru_cache(1)
+def marks() -> np.ndarray:
+    """Penalty of an end behind each character of the Basic Multilingual Plane; . ! and ? count as NOWHERE + 1."""
+    out = np.full(1 << 16, NOWHERE, "i1")
+    for penalty, chars in ((2, " \u3000"), (1, "。！？"), (0, "\n"), (NOWHERE + 1, ".!?")):
+        out[[ord(c) for c in chars]] = penalty
+    return out
+
+
 def boundaries(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(ends, penalties) of all natural boundaries, in order; an end lies right after its mark."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "u4")
-    after = np.append(codes[1:], 0)
-    penalty = np.full(len(codes), NOWHERE, "i8")
-    penalty[np.isin(codes, [ord(c) for c in " \u3000"])] = 2
-    penalty[np.isin(codes, [ord(c) for c in "。！？"]) | (np.isin(codes, [ord(c) for c in ".!?"]) & (after == ord(" ")))] = 1
-    penalty[codes == ord("\n")] = 0
-    at = np.flatnonzero(penalty < NOWHERE)
-    return at + 1, penalty[at]
+    penalty = marks()[np.minimum(codes, 0xFFFF)]
+    at = np.flatnonzero(penalty != NOWHERE)
+    kind = penalty[at].astype("i8")
+    stop = kind == NOWHERE + 1
+    before_blank = np.append(codes[1:], 0)[at] == ord(" ")
+    kind[stop] = 1
+    kept = ~stop | before_blank
+    return at[kept] + 1, kind[kept]
 
 
 def best_plan(text: str, limit: int, overlap: int, least: int, objective: str) -> list[tuple[int, int]]:
@@ -84,16 +96,38 @@ def best_plan(text: str, limit: int, overlap: int, least: int, objective: str) -
             cost[s] = value
         return value
 
-    for j in range(len(ends) - 1, -1, -1):
-        if starts[j] > 0:
-            after[j] = settle(int(starts[j]), low[j], high[j])
+    # Starts less than least - overlap apart do not follow each other, so a block of them is settled at once.
+    end_of = np.zeros(len(ends), "i8")
+    begin, j = (int(np.searchsorted(starts, x, side="right")) for x in (0, max(0, n - limit - 1)))
+    if not ordered:
+        after[j:] = ((limit - n + starts[j:]) / limit) ** 2
+    end_of[j:] = n  # what is left from these starts is the last piece
+    while j > begin:
+        i = max(begin, int(np.searchsorted(starts, starts[j - 1] - (least - overlap), side="right")))
+        plain = low[i:j] < high[i:j]
+        for k in i + np.flatnonzero(~plain):
+            after[k] = settle(int(starts[k]), low[k], high[k])
+            end_of[k] = chosen[int(starts[k])]
+        some = i + np.flatnonzero(plain)
+        if len(some):
+            width = int((high[some] - low[some]).max())
+            at = high[some][:, None] - 1 - np.arange(width)  # from the latest end on, so that it wins a tie
+            within = at >= low[some][:, None]
+            at = np.maximum(at, 0)
+            room = (starts[some] + limit)[:, None] - ends[at]
+            values = np.where(within, steps[at] + (room if ordered else (room / limit) ** 2) + discount * after[at], np.inf)
+            best = values.argmin(1)
+            rows = np.arange(len(some))
+            after[some], end_of[some] = values[rows, best], ends[at[rows, best]]
+        j = i
     settle(0, np.searchsorted(ends, least), np.searchsorted(ends, limit, side="right"))
     pieces, start = [], 0
     while True:
-        pieces.append((start, chosen[start]))
-        if chosen[start] == n:
+        end = chosen[start] if start in chosen else int(end_of[np.searchsorted(starts, start)])
+        pieces.append((start, end))
+        if end == n:
             return pieces
-        start = chosen[start] - overlap
+        start = end - overlap
 
 
 def split_oversized(
