@@ -12,14 +12,28 @@ from weftdocs.operators.stats import unique_best
 from weftdocs.session import table
 
 
+def _files(spark: SparkSession, folder: str) -> DataFrame:
+    """(case_id, files, extension): registered files of each project by type, each once."""
+    reg = table(spark, folder, "doc_registry").filter("case_id IS NOT NULL AND ext_id IS NOT NULL").select("case_id", "ext_id", F.lower("extension").alias("extension")).distinct()
+    return reg.groupBy("case_id", "extension").agg(F.count("*").alias("files"))
+
+
+def _staff(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "case_master").select("case_id", F.explode("staff").alias("role", "person"))
+
+
 def people(spark: SparkSession, folder: str) -> DataFrame:
-    """Projects of each person by way of the staff map, with roles in order."""
-    staff = table(spark, folder, "case_master").select("case_id", F.explode("staff").alias("role", "person"))
-    return staff.groupBy("person").agg(F.count_distinct("case_id").alias("cases"), F.array_join(F.array_sort(F.collect_set("role")), ",").alias("roles"))
+    """Projects and registered files of each person by way of the staff map, with roles in order."""
+    files = _files(spark, folder).groupBy("case_id").agg(F.sum("files").alias("files"))
+    staff = _staff(spark, folder)
+    held = staff.select("case_id", "person").distinct().join(files, "case_id", "left").groupBy("person").agg(F.count("*").alias("cases"), F.coalesce(F.sum("files"), F.lit(0)).alias("files"))
+    return held.join(staff.groupBy("person").agg(F.array_join(F.array_sort(F.collect_set("role")), ",").alias("roles")), "person")
 
 
-PEOPLE = """
-WITH s AS (SELECT case_id, unnest(map_entries(staff)) AS e FROM case_master) SELECT e.value AS person, count(DISTINCT case_id) AS cases, array_to_string(list_sort(list_distinct(list(e.key))), ',') AS roles FROM s GROUP BY 1"""
+STAFF_CTE = """s AS (SELECT case_id, unnest(map_entries(staff)) AS e FROM case_master), r AS (SELECT DISTINCT case_id, ext_id, lower(extension) AS extension FROM doc_registry WHERE case_id IS NOT NULL AND ext_id IS NOT NULL), x AS (SELECT case_id, extension, count(*) AS files FROM r GROUP BY 1, 2), f AS (SELECT case_id, sum(files) AS files FROM x GROUP BY 1)"""
+PEOPLE = f"""
+WITH {STAFF_CTE}, d AS (SELECT DISTINCT case_id, e.value AS person FROM s), h AS (SELECT person, count(*) AS cases, coalesce(sum(files), 0)::BIGINT AS files FROM d LEFT JOIN f USING (case_id) GROUP BY 1)
+SELECT * FROM h JOIN (SELECT e.value AS person, array_to_string(list_sort(list_distinct(list(e.key))), ',') AS roles FROM s GROUP BY 1) USING (person)"""
 
 
 def registered_text(spark: SparkSession, folder: str) -> DataFrame:
@@ -33,12 +47,17 @@ REGISTERED = "WITH u AS (SELECT ext_id, any_value(case_id) AS case_id, any_value
 
 
 def busiest_person(spark: SparkSession, folder: str) -> DataFrame:
-    """Of each role, the person with most projects; none where two share the place."""
-    staff = table(spark, folder, "case_master").select("case_id", F.explode("staff").alias("role", "person"))
-    return unique_best(staff.groupBy("role", "person").agg(F.count_distinct("case_id").alias("cases")), ["role"], "cases")
+    """Of each role, the person with most registered files in projects, and the type most of them have; none where two share the place."""
+    owned = _staff(spark, folder).join(_files(spark, folder), "case_id")
+    best = unique_best(owned.groupBy("role", "person").agg(F.sum("files").alias("files")), ["role"], "files")
+    kinds = owned.groupBy("role", "person", "extension").agg(F.sum("files").alias("n")).groupBy("role", "person").agg(F.max_by("extension", F.struct("n", "extension")).alias("extension"))
+    return best.join(kinds, ["role", "person"])
 
 
-BUSIEST = "WITH s AS (SELECT case_id, unnest(map_entries(staff)) AS e FROM case_master), p AS (SELECT e.key AS role, e.value AS person, count(DISTINCT case_id) AS cases FROM s GROUP BY 1, 2), m AS (SELECT * FROM p QUALIFY cases = max(cases) OVER (PARTITION BY role)) SELECT * FROM m QUALIFY count(*) OVER (PARTITION BY role) = 1"
+BUSIEST = f"""
+WITH {STAFF_CTE}, o AS (SELECT e.key AS role, e.value AS person, extension, sum(files) AS n FROM s JOIN x USING (case_id) GROUP BY 1, 2, 3), p AS (SELECT role, person, sum(n) AS files FROM o GROUP BY 1, 2), m AS (SELECT * FROM p QUALIFY files = max(files) OVER (PARTITION BY role)),
+u AS (SELECT * FROM m QUALIFY count(*) OVER (PARTITION BY role) = 1), k AS (SELECT role, person, extension FROM o QUALIFY row_number() OVER (PARTITION BY role, person ORDER BY n DESC, extension DESC) = 1)
+SELECT role, person, files::BIGINT AS files, extension FROM u JOIN k USING (role, person)"""
 
 
 def long_orders(spark: SparkSession, folder: str) -> DataFrame:
@@ -52,13 +71,15 @@ LONG_ORDERS = "WITH p AS (SELECT l_orderkey, min(l_shipdate) AS s, max(l_shipdat
 
 
 def largest_deposit_contact(spark: SparkSession, folder: str) -> DataFrame:
-    """The project of the largest deposit and its people, by a chained look-up; nothing on a tie."""
-    cases = table(spark, folder, "case_master").withColumn("one", F.lit(1))
-    best = unique_best(cases.filter("deposit IS NOT NULL"), ["one"], "deposit")  # 40 rows at every size
-    return best.select("case_id", "deposit", F.explode("staff").alias("role", "person"))
+    """Of each type of file, the project of the largest deposit that has registered one, and its people, by a chained look-up; nothing on a tie."""
+    cases = table(spark, folder, "case_master").filter("deposit IS NOT NULL").select("case_id", "deposit")
+    best = unique_best(_files(spark, folder).join(cases, "case_id"), ["extension"], "deposit")
+    return best.join(_staff(spark, folder), "case_id").select("extension", "case_id", "deposit", "files", "role", "person")
 
 
-DEPOSIT = "WITH m AS (SELECT * FROM case_master WHERE deposit = (SELECT max(deposit) FROM case_master) QUALIFY count(*) OVER () = 1), s AS (SELECT case_id, deposit, unnest(map_entries(staff)) AS e FROM m) SELECT case_id, deposit, e.key AS role, e.value AS person FROM s"
+DEPOSIT = f"""
+WITH {STAFF_CTE}, c AS (SELECT x.*, deposit FROM x JOIN case_master USING (case_id) WHERE deposit IS NOT NULL), m AS (SELECT * FROM c QUALIFY deposit = max(deposit) OVER (PARTITION BY extension)), u AS (SELECT * FROM m QUALIFY count(*) OVER (PARTITION BY extension) = 1)
+SELECT extension, case_id, deposit, files, e.key AS role, e.value AS person FROM u JOIN s USING (case_id)"""
 
 
 def regions_reached(spark: SparkSession, folder: str) -> DataFrame:
