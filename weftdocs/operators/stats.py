@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftdocs.operators.search import top
 
 PERCENTS = (10, 25, 50, 75, 90, 95)
-RANGES = 200  # ranges of values that are counted side by side
+RANGES = 256  # ranges of values that are counted side by side
 
 
 def melt(df: DataFrame, columns: list[str], *keep: str) -> DataFrame:
@@ -32,15 +33,29 @@ def moments(df: DataFrame, columns: list[str]) -> DataFrame:
     return per_column(df, columns, n=F.count, low=F.min, high=F.max, mean=F.avg, total=F.sum, std=F.stddev_pop)
 
 
+def ranged(df: DataFrame, value: str, bounds: list[float]) -> DataFrame:
+    """Adds _range, the number of the range between two bounds that a value falls into."""
+    if not bounds:
+        return df.withColumn("_range", F.lit(0.0))
+    splits = [float("-inf"), *bounds, float("inf")]
+    return Bucketizer(splits=splits, inputCol="_v", outputCol="_range", handleInvalid="keep").transform(df.withColumn("_v", F.col(value).cast("double"))).drop("_v")
+
+
+def bounds_of(df: DataFrame, value: str) -> list[float]:
+    """Bounds of ranges that hold about the same number of rows, RANGES at most: approximate quantiles."""
+    at = ", ".join(f"{i / RANGES}D" for i in range(1, RANGES))
+    found = df.select(F.col(value).cast("double").alias("v")).agg(F.expr(f"percentile_approx(v, array({at}), {10 * RANGES})")).first()[0]
+    return sorted(v for v in set(found or []) if abs(v) < float("inf"))
+
+
 def counted_values(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """(group, value, n, below): how often each value occurs in its group, and how many smaller ones there are. Nulls are left out.
 
-    Values are counted first. The values of a group are cut at its approximate quantiles into RANGES ranges;
-    running counts go over the values of one range, and the counts of the ranges below are added.
+    Values are counted first and cut into ranges at approximate quantiles of all rows, so that no range of a
+    group holds many; running counts go over the values of one range, and those of the ranges below are added.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("value")).agg(F.count("*").alias("n"))
-    cuts = counts.groupBy(*group).agg(F.percentile_approx("value", [i / RANGES for i in range(1, RANGES)], F.lit(10 * RANGES)).alias("_cuts"))  # one row for each group
-    at = counts.join(cuts, group).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("value")))).drop("_cuts")
+    at = ranged(counts, "value", bounds_of(df, value))
     sizes = at.groupBy(*group, "_range").agg(F.sum("n").alias("_n"))
     lower = sizes.withColumn("_below", F.coalesce(F.sum("_n").over(Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inside = F.coalesce(F.sum("n").over(Window.partitionBy(*group, "_range").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -55,7 +70,7 @@ def committed(first: Column, second: Column) -> Column:
 def percentiles(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, pct, value), linear between neighbours; exact, from counted values."""
     counted = counted_values(melt(df, columns), ["column"], "value")
-    total = counted.groupBy("column").agg(F.sum("n").alias("total"))  # one row for each column
+    total = per_column(df, columns, total=F.count).filter("total > 0")  # one row for each column
     wanted = total.select("column", "total", F.explode(F.array(*[F.lit(p) for p in PERCENTS])).alias("pct")).withColumn("at", F.col("pct") / 100.0 * (F.col("total") - 1))
     low, high = F.floor("at"), F.ceil("at")
     holds = lambda k: (F.col("below") <= k) & (k < F.col("below") + F.col("n"))
@@ -131,11 +146,8 @@ def f1_sweep(df: DataFrame, score: str, truth: str) -> DataFrame:
     every = counted_values(rows, ["_g"], "t").select("_g", "value", "n", "below")
     good = rows.groupBy("_g", F.col("t").alias("value")).agg(F.sum("y").alias("p"))
     whole = F.broadcast(rows.agg(F.count("t").alias("all_n"), F.sum("y").alias("all_p")))  # one row
-    positive = counted_values(rows.filter("y = 1"), ["_g"], "t").select("value", F.col("n").alias("pn"), F.col("below").alias("p_below"))
-    # a score without positives has the positives of the next higher score that has some
     up = Window.partitionBy("_range").orderBy(F.desc("value")).rowsBetween(Window.unboundedPreceding, 0)
-    cuts = F.broadcast(every.agg(F.percentile_approx("value", [i / RANGES for i in range(1, RANGES)], F.lit(10 * RANGES)).alias("_cuts")))  # one row
-    joined = every.join(good, ["_g", "value"]).join(positive, "value", "left").crossJoin(cuts).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("value")))).drop("_cuts")
+    joined = ranged(every.join(good, ["_g", "value"]), "value", bounds_of(rows, "t"))
     per = joined.groupBy("_range").agg(F.sum("p").alias("pp"))
     above = per.select("_range", F.coalesce(F.sum("pp").over(Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("p0"))  # one row for each range
     swept = joined.join(F.broadcast(above), "_range").crossJoin(whole).select("value", (F.sum("p").over(up) + F.col("p0")).alias("tp"), (F.col("all_n") - F.col("below")).alias("taken"), "all_p")
