@@ -319,6 +319,38 @@ def test_every_asked_vector_gets_its_list(spark, monkeypatch):
         assert all(ids == list(np.argsort(-(u @ u[q]), kind="stable")[:3]) for q, ids in got.items())
 
 
+def test_rows_that_share_rare_tokens(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    bags = [(i, sorted({f"t{j}" for j in rng.integers(0, 30, 6)})) for i in range(70)]
+    bags += [(100, None), (101, []), (5, ["t1", "t2", "t3"])]  # key 5 stands in two rows
+    d = spark.createDataFrame(bags, "id long, tokens array<string>").repartition(5)
+    weight = {f"t{j}": 4 + j / 7 for j in range(20)}  # the other tokens weigh nothing
+    asked = [(i, t) for i, b in bags if i % 10 == 0 and b for t in b if t in weight]
+    want: dict = {}
+    for q, t in asked:
+        for i, b in bags:
+            if b and t in b:
+                want.setdefault(q, {})[i] = want.get(q, {}).get(i, 0.0) + weight[t]
+    wanted = spark.createDataFrame([(q, t, weight[t]) for q, t in asked], "query long, token string, weight double")
+    for block, part, many in ((100, 512, 2048), (100, 2, 3), (3, 2, 3)):
+        for name, value in (("QUERY_BLOCK", block), ("SLICE", part), ("ROWS", many)):
+            monkeypatch.setattr(search, name, value)
+        got: dict = {}
+        for r in search.sharing_all(d, "id", "tokens", wanted, 4).orderBy("query", "rank").collect():
+            got.setdefault(r["query"], []).append((r.id, r.score))
+        assert got == {q: [(i, round(s, 6)) for i, s in sorted(of.items(), key=lambda x: (-round(x[1], 6), x[0]))[:4]] for q, of in want.items()}
+    assert search.sharing_all(d, "id", "tokens", wanted.limit(0), 4).count() == 0
+
+
+def test_no_pair_of_a_search_is_shuffled(spark):
+    n = 400  # one token in all rows of a half: pairs of queries and rows grow with the square
+    d = spark.createDataFrame([(i, [f"w{i % 2}"]) for i in range(n)], "id long, tokens array<string>").repartition(2)
+    asked = spark.createDataFrame([(q, f"w{q % 2}", 1.0) for q in range(n)], "query long, token string, weight double")
+    found = search.sharing_all(d, "id", "tokens", asked, 1)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and found.count() == n
+
+
 def test_streams_keep_late_rows(spark, tmp_path):
     import datetime as dt
 

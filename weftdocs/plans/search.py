@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weftdocs.functions.text import ID_PATTERN, bag_tokens, canonical_id, composed, locator, search_tokens, stem, strong_weak, trigrams, version_base
 from weftdocs.operators import lines as L
 from weftdocs.operators import search as S
-from weftdocs.session import spread, table
+from weftdocs.session import cut, spread, table
 
 QUERY = "予測モデル 欠損率 load_ratio audit trail"
 
@@ -87,13 +87,11 @@ DENSE_SQL = f"WITH {DENSE_CTE.format(k=20)} SELECT * FROM dense"
 RARE = 4.0  # least weight of a rare token
 
 
-def _rare(chunks: DataFrame, least: float) -> DataFrame:
-    """(id, token, idf) of tokens that are rare in the collection."""
-    posts = chunks.select("id", F.explode(F.array_distinct(bag_tokens("text"))).alias("token"))
-    n = chunks.agg(F.count("*").alias("units"))
-    frequent = posts.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))  # one row
-    weights = frequent.select("token", (F.log((F.col("units") + 1) / (F.col("df") + 1)) + 1).alias("idf")).filter(F.col("idf") >= least)
-    return posts.join(weights, "token")
+def _rare(bags: DataFrame, least: float) -> DataFrame:
+    """(token, weight) of tokens that are rare in the collection."""
+    n = bags.agg(F.count("*").alias("units"))
+    frequent = bags.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))  # one row
+    return frequent.select("token", (F.log((F.col("units") + 1) / (F.col("df") + 1)) + 1).alias("weight")).filter(F.col("weight") >= least)
 
 
 def hybrid(spark: SparkSession, folder: str) -> DataFrame:
@@ -104,11 +102,9 @@ def hybrid(spark: SparkSession, folder: str) -> DataFrame:
     chunks = composed_chunks(spark, folder)
     about = chunks.select("id", "kind", "file", "project")
     dense = dense_lists(spark, folder, 90).select("query", "id", "rank")
-    rare = _rare(chunks, RARE)
-    asked = rare.filter(ASKING).select(F.col("id").alias("query"), "token")
-    shared = asked.join(rare, "token").groupBy("query", "id").agg(F.round(F.sum("idf"), 6).alias("rarity"))
-    order = Window.partitionBy("query").orderBy(F.desc("rarity"), "id")
-    sparse = shared.withColumn("rank", F.row_number().over(order) - 1).filter("rank < 90").select("query", "id", "rank")
+    bags = chunks.select("id", F.array_distinct(bag_tokens("text")).alias("tokens"))
+    asked = bags.filter(ASKING).select(F.col("id").alias("query"), F.explode("tokens").alias("token"))
+    sparse = S.sharing_all(bags, "id", "tokens", cut(asked.join(_rare(bags, RARE), "token")), 90).select("query", "id", "rank")
     fused = S.fuse([(dense, "dense", 1.0), (sparse, "rare", 1.0)], ["query", "id"], digits=15)
     of_query = about.filter(ASKING).select(F.col("id").alias("query"), F.col("project").alias("own_project"), F.col("file").alias("own_file"))
     near = fused.filter("query <> id").join(about, "id").join(of_query, "query")
