@@ -243,6 +243,17 @@ def test_bound_refuses_no_passage():
     assert 20 < kept < 200
 
 
+def test_every_twin_is_met(spark):
+    clean = [f"caf{ch}" for ch in "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ"]  # one stripped text
+    wrong = [u.encode().decode("cp1252") for u in clean]
+    vocab = spark.createDataFrame([("u", u, n) for n, u in enumerate([*clean, *wrong], 1)], "kind string, key string, df long")
+    got = {(r.garbled, r.clean) for r in mojibake.twins(vocab, mojibake.contexts(vocab)).filter("stored = 'utf-8' AND read = 'cp1252'").collect()}
+    assert got == set(zip(wrong, clean, strict=True))
+    # an encoding gives ¢ and ￠ the same bytes
+    vocab = spark.createDataFrame([("u", "abc¢", 1), ("u", "abc¢".encode("cp932").decode("mac_roman"), 1)], "kind string, key string, df long")
+    assert ("cp932", "mac_roman", "abc¢") in {(r.stored, r.read, r.clean) for r in mojibake.twins(vocab, mojibake.contexts(vocab)).collect()}
+
+
 def test_find_garbled_in_hot_copies(spark):
     words = ["Prüfung", "künftig", "Übergabe", "geprüft", "Prüfbericht"]
     clean = [(i, f"{words[i % 5]} und {words[(i + 1) % 5]} {i}") for i in range(10)] + [(20, "une idée à l'été, même côté thé"), (21, "forêt naïve née blé")]

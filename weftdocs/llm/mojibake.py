@@ -4,9 +4,9 @@ A text is seen as units, runs of letters and non-ASCII characters between other
 
 1. `vocabulary`: document frequencies of all units that hold a non-ASCII character, and of all
    non-ASCII characters, over the whole corpus.
-2. `twins`: garbled units are joined with clean near-twins on the text stripped of its non-ASCII
-   characters. Where these stood, only their number of bytes is left (`blank`), so that both texts can be
-   aligned byte by byte, and a stripped text that many units share is not one group.
+2. `twins`: garbled units are joined with all clean near-twins: units of the same ASCII characters whose
+   bytes, in some encoding, are those that the garbled unit was read from. Units that merely share the text
+   stripped of its non-ASCII characters never meet, however many they are.
 3. `alignment` infers the transformation of a pair: the character encoding of the clean unit whose bytes,
    aligned with those that the garbled characters were read from, are the same ones throughout.
 4. `learn`: a transformation is learned when enough different pairs, or enough aligned characters, support it.
@@ -28,7 +28,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,7 +44,6 @@ POSSIBLE = frozenset(TRANSFORMS)
 MIN_PAIRS = 3  # distinct pairs that must support a transformation,
 MIN_CHARS = 4  # or, where several bytes make a character, aligned characters in all
 MIN_LETTERS = 3  # ASCII letters that are left of a unit with a twin
-CANDIDATES = 8  # clean units that each stripped text is aligned with; transformations are learned from them
 KNOWN_SHARE = 0.8  # share of a run's restored characters that the corpus must know
 CLEAR = 3  # times as many units that decide between two characters
 QUOTES = dict.fromkeys(map(ord, "‘’“”„«»"))
@@ -238,16 +236,9 @@ def one_way(garbled: str, clean: str, units_with: dict[str, int]) -> bool | None
     return b > a if max(a, b) >= CLEAR * min(a, b) else None
 
 
-BLANKED = bytes([*range(128), *[128] * 128])
-
-
-def blank(raw: bytes) -> int | None:
-    """Hash of a unit's bytes with all non-ASCII ones blanked; None where too little text is left."""
-    left = raw.translate(BLANKED)
-    if sum(65 <= b <= 90 or 97 <= b <= 122 for b in left) < MIN_LETTERS:
-        return None
-    h = xxhash.xxh3_64_intdigest(left)
-    return h - (1 << 64) if h >> 63 else h
+def lettered(raw: bytes) -> bool:
+    """Whether enough text is left of a unit without its non-ASCII characters."""
+    return sum(65 <= b <= 90 or 97 <= b <= 122 for b in raw) >= MIN_LETTERS
 
 
 def encoded(text: str, stored: str) -> bytes | None:
@@ -276,16 +267,28 @@ def alignment(garbled: str, clean: str) -> list[tuple[str, str, int]]:
     return out
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def clean_keys(units: pd.Series) -> pd.Series:
-    return units.map(lambda u: sorted({k for k in (blank(raw) for raw in (encoded(u, e) for e in STORED_AS) if raw is not None) if k is not None}))
+    """What a unit's bytes are decoded to: the unit, and another one where an encoding gives two characters the same bytes."""
+    return units.map(lambda u: sorted({raw.decode(e) for e, raw in ((e, encoded(u, e)) for e in STORED_AS) if raw is not None and lettered(raw)}))
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def garbled_keys(units: pd.Series) -> pd.Series:
-    def of(u: str) -> list[int]:
-        raws = ["".join(ch if ch < "\x80" else "\x80" for ch in u).encode("latin-1"), read_from(u, "cp932")]  # a byte to a character, or two
-        return sorted({k for k in (blank(raw) for raw in raws if raw is not None) if k is not None})
+    """What the bytes that a unit may have been read from are decoded to in other encodings."""
+
+    def of(u: str) -> list[str]:
+        out = set()
+        for d in READ_AS:
+            raw = read_from(u, d)
+            if raw is not None and lettered(raw):
+                for e in STORED_AS:
+                    if (e, d) in POSSIBLE:
+                        try:
+                            out.add(raw.decode(e))
+                        except UnicodeDecodeError:
+                            pass  # bytes of no text
+        return sorted(out - {u})
 
     return units.map(of)
 
@@ -313,9 +316,7 @@ def surely(units_with: dict[str, int], vocab: DataFrame):
 def twins(vocab: DataFrame, units_with: dict[str, int]) -> DataFrame:
     """(stored, read, garbled, clean, characters): garbled units with clean near-twins and the transformation between them."""
     units = vocab.filter("kind = 'u'").select(F.col("key").alias("unit"), "df")
-    keyed = units.select("unit", "df", F.explode(clean_keys("unit")).alias("key"))
-    # a stripped text that many units share keeps CANDIDATES of them: the most frequent one of each part
-    clean = keyed.groupBy("key", F.pmod(F.xxhash64("unit"), F.lit(CANDIDATES)).alias("part")).agg(F.max_by("unit", F.struct("df", "unit")).alias("clean"), F.max("df").alias("df_clean"))
+    clean = units.select(F.col("unit").alias("clean"), F.col("df").alias("df_clean"), F.explode(clean_keys("unit")).alias("key"))
     suspects = units.filter(F.col("unit").rlike(SUSPECT)).select(F.col("unit").alias("garbled"), F.col("df").alias("df_garbled"), F.explode(garbled_keys("unit")).alias("key"))
     pairs = suspects.join(clean, "key").filter("garbled <> clean").select("garbled", "clean", "df_garbled", "df_clean").distinct()
     found = pairs.withColumn("a", F.explode(alignments("garbled", "clean"))).select("garbled", "clean", "df_garbled", "df_clean", "a.*")
